@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id
+from . import exact_dedup, language_id, toxicity
 
 
 def queries() -> dict:
-    found = [exact_dedup.op2_exact_dedup, language_id.op7_language_id]
+    found = [toxicity.op1_toxicity, exact_dedup.op2_exact_dedup, language_id.op7_language_id]
     return {f.__name__: f for f in found}
 
 
