@@ -113,11 +113,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     index = build_index(written(entries(docs, id_col, text_col, hash_bits), "dedup-entries"), capacity, max_depth)
     index = index.select(F.col("key").alias("__key"), F.col("sha").alias("__sha"), F.struct("keep_id", "keep_length", "group_size", "chain").alias("__group"))
     norm = normalised(F.col(text_col))
-    probes = docs.withColumns({"__key": key_of(norm, hash_bits), "__sha": F.sha2(norm, 256)})
+    # the length is taken before the join, so that a caller without use for texts doesn't move them
+    probes = docs.withColumns({"__key": key_of(norm, hash_bits), "__sha": F.sha2(norm, 256), "__n": F.char_length(F.coalesce(F.col(text_col), F.lit("")))})
     g = F.col("__group")
-    kept = F.col(id_col).cast("long").eqNullSafe(g["keep_id"]) & (g["keep_id"].isNull() | (F.char_length(F.coalesce(F.col(text_col), F.lit(""))) == g["keep_length"]))
+    kept = F.col(id_col).cast("long").eqNullSafe(g["keep_id"]) & (g["keep_id"].isNull() | (F.col("__n") == g["keep_length"]))
     out = probes.join(index, ["__key", "__sha"]).withColumns({"keep_id": g["keep_id"], "group_size": g["group_size"], "kept": kept, "text_sha256": F.col("__sha"), "chain": g["chain"]})
-    return out.drop("__key", "__sha", "__group")
+    return out.drop("__key", "__sha", "__n", "__group")
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
