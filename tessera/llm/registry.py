@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, toxicity
+from . import exact_dedup, jaccard_join, language_id, license_scan, secrets, tool_calls, toxicity
 
 
 def queries() -> dict:
-    found = [toxicity.op1_toxicity, exact_dedup.op2_exact_dedup, language_id.op7_language_id]
+    found = [
+        toxicity.op1_toxicity,
+        exact_dedup.op2_exact_dedup,
+        secrets.op3_secret_scan,
+        tool_calls.op4_tool_calls,
+        license_scan.op6_license_scan,
+        language_id.op7_language_id,
+        jaccard_join.op8_jaccard_join,
+    ]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": exact_dedup.SQL}
+    return {"op2_exact_dedup": exact_dedup.SQL, "op4_tool_calls": tool_calls.SQL}
