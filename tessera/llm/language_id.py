@@ -40,9 +40,12 @@ def learn(docs: DataFrame, learn_rows: Column, *, id_col: str = "doc_id", text_c
     """(language, dictionary) pairs, most frequent language first."""
     rows = docs.filter(learn_rows & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col), F.lit(7)).alias("h"), F.substring(F.col(text_col), 1, excerpt).alias("part"))
     often = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
+    # about twice as many as wanted, by hash, so that no language's rows meet in one task
+    share = F.create_map(*(x for k, v in often.items() for x in (F.lit(k), F.lit(min(1.0, 2 * docs_per_language / v) * 1e6)))) if often else F.lit(None)
+    some = rows.filter(F.pmod("h", F.lit(1_000_000)) < share[F.col("lang")]) if often else rows.limit(0)
     first = F.row_number().over(Window.partitionBy("lang").orderBy("h", "part"))
     picked: dict[str, list[tuple[int, bytes]]] = {}
-    for lang, n, part in rows.withColumn("n", first).filter(F.col("n") <= docs_per_language).select("lang", "n", "part").collect():
+    for lang, n, part in some.withColumn("n", first).filter(F.col("n") <= docs_per_language).select("lang", "n", "part").collect():
         picked.setdefault(lang, []).append((n, folded(part)))
     made = {k: b"".join(x for _, x in sorted(v))[:dictionary_bytes] for k, v in picked.items()}
     return [(k, made[k]) for k in sorted(made, key=lambda k: (-often[k], k)) if made[k]]
