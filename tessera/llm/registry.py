@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, jaccard_join, language_id, license_scan, secrets, tool_calls, toxicity
+from . import ann, bpe, exact_dedup, jaccard_join, language_id, license_scan, secrets, tool_calls, toxicity
 
 
 def queries() -> dict:
@@ -11,9 +11,11 @@ def queries() -> dict:
         exact_dedup.op2_exact_dedup,
         secrets.op3_secret_scan,
         tool_calls.op4_tool_calls,
+        ann.op5_ann,
         license_scan.op6_license_scan,
         language_id.op7_language_id,
         jaccard_join.op8_jaccard_join,
+        bpe.op10_byte_bpe,
     ]
     return {f.__name__: f for f in found}
 
