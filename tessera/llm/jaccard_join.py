@@ -8,11 +8,11 @@ elements. Sets of about one size are cut, by hash value, into more blocks than t
 below), so linked sets agree on a whole block. A block's content is the key of an index list: lists
 of all blocks in which two sets differ are skipped without a look at their members. Sizes fall
 into classes a factor of 100/85 apart; a set uses the cut of its own class and of the class below.
-Blocks that are empty say nothing, so there are SLACK blocks more than the pigeonhole needs; a set
-with more empty blocks than that also enters lists for the elements of its prefix, its smallest
-hashes, which linked sets of that sort must share. Shingles that are very common in a bounded sample
+Blocks that are empty say nothing, so there are some spare blocks beyond what the pigeonhole needs; a
+set with more empty blocks than that also enters lists for the elements of its prefix, its first in
+an order common to all, which linked sets of that sort must share. Shingles that are very common in a bounded sample
 of documents (common lines and passages) are left out of all blocks alike, which keeps the
-argument intact and their lists short; exact verification below uses whole sets.
+argument intact and their lists short, and come last in prefixes; verification uses whole sets.
 
 *Members of a list* are only chained to its smallest member: in a map task among its own rows, so
 that a list leaves the task with one row, then among tasks. Chains make candidate components, which
@@ -21,7 +21,8 @@ hold every link; equal sets are one member from the start, however many document
 *Derived answers.* Within a candidate component, a search visits sets in turn. When p has been compared
 with all unvisited sets, a set x linked to p need not be: its overlap with y is at most that of p plus
 the elements of x that p lacks. Only pairs that this leaves open are compared, exactly, and only
-sets that are not yet connected. A component of more than BLOCK sets is spread: its members are
+sets that are not yet connected. A component of more than BLOCK elements is first cut anew, with another
+order of hashes, which parts sets that met by chance. If it is still as large it is spread: its members are
 compared with a few pivots; those that the largest star leaves over are compared, in chunks, with
 all members, in blocks. No pair of different texts that could link is left out.
 
@@ -32,11 +33,12 @@ id gets a null component_id and links with nothing. Rows that share an id share
 from __future__ import annotations
 
 import bisect
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import shuffle_partitions, table, written
@@ -44,11 +46,11 @@ from .components import connected
 from .shingles import FACTORS, Hasher, U, fingerprint, mix
 
 WORDS, PERCENT = 4, 85
-#: Blocks beyond the pigeonhole's number, that is, empty blocks that do no harm.
-SLACK = 2
-#: Sets that one task compares with each other.
-BLOCK = 1000
+#: Elements of sets that one task compares with each other.
+BLOCK = 1_000_000
 PIVOTS = 8
+#: Times that a candidate component of more than BLOCK elements is cut anew, before it is spread.
+RECUTS = 1
 #: Ids that may be broadcast to fetch their texts; beyond, the texts are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -71,42 +73,53 @@ def size_classes(largest: int) -> list[int]:
     return ends
 
 
-def blocks_for(end: int) -> int:
-    """Blocks for pairs whose smaller set has at most `end` elements."""
+def blocks_for(end: int) -> tuple[int, int]:
+    """(blocks, spare ones) for pairs whose smaller set has at most `end` elements. There are as
+    many spare blocks as the smallest set of the class leaves empty, and four deviations more."""
     total = end + end * 100 // PERCENT
-    return max(map(most_differences, range(max(2, total - 2 * (100 + PERCENT)), total + 1))) + 1 + SLACK
+    least = max(map(most_differences, range(max(2, total - 2 * (100 + PERCENT)), total + 1))) + 1
+    for spare in range(2, least + 3):
+        empty = (least + spare) * math.exp(-(PERCENT / 100) * end / (least + spare))
+        if spare >= empty + 4 * math.sqrt(empty) + 2:
+            break
+    return least + spare, spare
 
 
 class Cuts:
-    """(class, number of blocks) for the cuts that a set of n elements uses."""
+    """(class, blocks, spare blocks) for the cuts that a set of n elements uses."""
 
     def __init__(self) -> None:
         self.ends, self.blocks = [1], [blocks_for(1)]
 
-    def __call__(self, n: int) -> list[tuple[int, int]]:
+    def __call__(self, n: int) -> list[tuple[int, int, int]]:
         if self.ends[-1] < n:
             self.ends = size_classes(n)
             self.blocks += [blocks_for(e) for e in self.ends[len(self.blocks) :]]
         k = bisect.bisect_left(self.ends, n)
-        return [(c, self.blocks[c]) for c in (k, k - 1) if c >= 0]
+        return [(c, *self.blocks[c]) for c in (k, k - 1) if c >= 0]
 
 
-def keys(s: np.ndarray, common: np.ndarray, cuts: Cuts) -> np.ndarray:
-    """The index lists that a set enters."""
-    own = s if not len(common) else s[common[np.minimum(np.searchsorted(common, s), len(common) - 1)] != s]
+def keys(s: np.ndarray, common: np.ndarray, cuts: Cuts, seed: int = 0) -> np.ndarray:
+    """The index lists that a set enters; each seed cuts in another way."""
+    usual = common[np.minimum(np.searchsorted(common, s), len(common) - 1)] == s if len(common) else np.zeros(len(s), bool)
+    if seed:
+        s = mix(s ^ (U(seed) * FACTORS[2]))
+        order = np.argsort(s)
+        s, usual = s[order], usual[order]
+    own = s[~usual]
     sums = np.concatenate([np.zeros(1, U), np.cumsum(mix(own ^ FACTORS[3]), dtype=U)])
     out, crowded = [], False
-    for k, blocks in cuts(len(s)):
+    for k, blocks, spare in cuts(len(s)):
         edges = np.ceil(np.arange(blocks + 1) * (2.0**64 / blocks))
         at = np.searchsorted(own, edges[1:-1].astype(U))
         at = np.concatenate([[0], at, [len(own)]])
         full = np.flatnonzero(np.diff(at))
-        crowded |= blocks - len(full) > SLACK
+        crowded |= blocks - len(full) > spare
         content = sums[at[full + 1]] - sums[at[full]]
         out.append(mix(content + mix(full.astype(U) * FACTORS[0] + U(k + 1) * FACTORS[1])))
     if crowded:
-        prefix = s[: len(s) - -(-PERCENT * len(s) // 100) + 1]
-        out.append(mix(prefix + FACTORS[2]))
+        prefix = np.concatenate([own, s[usual]])[: len(s) - -(-PERCENT * len(s) // 100) + 1]
+        out += [mix(prefix + U(k + 1) * FACTORS[2]) for k, _, _ in cuts(len(s))]
     return np.concatenate(out)
 
 
@@ -152,18 +165,22 @@ def chained(ks: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return ks[new], nodes[new], edges[0], edges[1]
 
 
-def candidate_edges(docs: DataFrame, common: np.ndarray, buckets: int) -> DataFrame:
-    """(a, b) of sets: chains of the members of every index list."""
+def candidate_edges(docs: DataFrame, common: np.ndarray, buckets: int, seed: int = 0) -> DataFrame:
+    """(a, b) of sets: chains of the members of every index list. With a column comp, lists hold
+    members of one component only."""
+    apart = "comp" in docs.columns
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make, cuts = Hasher(WORDS), Cuts()
         for batch in batches:
             seen, ks, nodes = set(), [], []
-            for s in make(batch.column("text")):
+            comps = mix(batch.column("comp").to_numpy().view(U)) if apart else None
+            for i, s in enumerate(make(batch.column("text"))):
                 if len(s) and (node := fingerprint(s)) not in seen:
                     seen.add(node)
-                    ks.append(keys(s, common, cuts))
-                    nodes.append(np.full(len(ks[-1]), node, np.int64))
+                    k = keys(s, common, cuts, seed)
+                    ks.append(mix(k ^ comps[i]) if apart else k)
+                    nodes.append(np.full(len(k), node, np.int64))
             if ks:
                 yield blobs(buckets, *chained(np.concatenate(ks), np.concatenate(nodes)))
 
@@ -237,15 +254,15 @@ def search(sets: list[np.ndarray]) -> np.ndarray:
     sizes = np.array([len(s) for s in sets])
     ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    mark = np.zeros(ids.max() + 1, bool)
+    owners = np.repeat(np.arange(m), sizes)[np.argsort(ids, kind="stable")]
+    first = np.concatenate([[0], np.cumsum(np.bincount(ids))])
     root, left = np.arange(m), np.ones(m, bool)
 
     def overlaps(x: int) -> np.ndarray:
         own = ids[starts[x] : starts[x] + sizes[x]]
-        mark[own] = True
-        out = np.add.reduceat(mark[ids].astype(np.int64), starts)
-        mark[own] = False
-        return out
+        n = first[own + 1] - first[own]
+        at = np.repeat(first[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return np.bincount(owners[at], minlength=m)
 
     for seed in range(m):
         if not left[seed]:
@@ -264,65 +281,98 @@ def search(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def resolved(members: DataFrame, by: list[str]) -> DataFrame:
-    """(a, b): every set and one that it is linked to, in each group of rows (by..., node, s)."""
+    """(a, b): every set and one that it is connected to, in each group of rows (by..., node, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make = Hasher(WORDS)
         for rows in grouped(batches, by):
-            nodes = sorted(set(zip(rows["node"], rows["s"], strict=True)))
-            root = search([np.frombuffer(s, U) for _, s in nodes])
-            a = np.array([n for n, _ in nodes], np.int64)
+            texts = dict(zip(rows["node"], rows["text"], strict=True))
+            nodes = np.array(sorted(texts), np.int64)
+            root = search(list(make(pa.array([texts[n] for n in nodes.tolist()], pa.string()))))
             moved = np.flatnonzero(root != np.arange(len(root)))
-            yield pa.RecordBatch.from_arrays([pa.array(a[moved]), pa.array(a[root[moved]])], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(nodes[root[moved]])], ["a", "b"])
 
     spread = members.repartition(shuffle_partitions(members.sparkSession), *by).sortWithinPartitions(*by)
     return spread.mapInArrow(run, "a long, b long")
 
 
-def with_sets(texts: DataFrame) -> DataFrame:
-    """(comp, node, s) of (comp, node, text): s is the set; rows of other sets under one id go."""
+def checked(texts: DataFrame) -> DataFrame:
+    """(node, text) without rows whose text has another set, as rows that share an id may."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Hasher(WORDS)
         for batch in batches:
-            sets = list(make(batch.column("text")))
-            ok = [i for i, (s, node) in enumerate(zip(sets, batch.column("node").to_pylist(), strict=True)) if len(s) and fingerprint(s) == node]
-            kept = batch.take(pa.array(ok, pa.int64()))
-            yield pa.RecordBatch.from_arrays([kept.column("comp"), kept.column("node"), pa.array([sets[i].tobytes() for i in ok], pa.binary())], ["comp", "node", "s"])
+            want = batch.column("node").to_pylist()
+            ok = [i for i, s in enumerate(make(batch.column("text"))) if len(s) and fingerprint(s) == want[i]]
+            yield batch.take(pa.array(ok, pa.int64()))
 
-    return texts.mapInArrow(run, "comp long, node long, s binary")
+    return texts.mapInArrow(run, "node long, text string")
 
 
 def large_links(members: DataFrame) -> DataFrame:
-    """(a, b) for candidate components too large for one task."""
-    n = shuffle_partitions(members.sparkSession)
-    ranked = members.select("comp", F.struct(F.xxhash64("node", F.lit(5)).alias("h"), "node", "s").alias("x"))
-    pivots = ranked.groupBy("comp").agg(F.slice(F.array_sort(F.collect_list(F.when(F.pmod(F.col("x.h"), F.lit(PIVOTS * 16)) < 1, F.col("x")))), 1, PIVOTS).alias("some"), F.min("x").alias("one"))
-    pivots = pivots.select("comp", F.explode(F.array_union("some", F.array("one"))).alias("x")).select("comp", F.col("x.node").alias("pivot"), F.col("x.s").alias("ps"))
+    """(a, b) for candidate components too large for one task; members: (comp, node, n, text)."""
+    ranked = members.select("comp", F.struct(F.xxhash64("node", F.lit(5)).alias("h"), "node").alias("x"))
+    of_all = F.pmod(F.col("x.h"), F.lit(16 * PIVOTS)) == 0
+    some = ranked.filter(of_all).withColumn("n", F.row_number().over(Window.partitionBy("comp").orderBy("x"))).filter(F.col("n") <= PIVOTS).select("comp", "x")
+    chosen = some.unionByName(ranked.groupBy("comp").agg(F.min("x").alias("x"))).select("comp", F.col("x.node").alias("node")).distinct()
+    pivots = members.select("node", "text").join(written(chosen, "jaccard-pivots"), "node").groupBy("comp").agg(F.collect_list("node").alias("pivots"), F.collect_list("text").alias("texts"))  # at most PIVOTS + 1
 
     def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make, known = Hasher(WORDS), {}
         for batch in batches:
-            a, b, cols = [], [], [batch.column(c).to_pylist() for c in ("node", "s", "pivot", "ps")]
-            for node, s, pivot, ps in zip(*cols, strict=True):
-                x, y = np.frombuffer(s, U), np.frombuffer(ps, U)
-                if node != pivot and min(len(x), len(y)) * 100 >= PERCENT * max(len(x), len(y)) and enough(np.intersect1d(x, y, assume_unique=True).size, len(x) + len(y)):
-                    a.append(node)
-                    b.append(pivot)
+            a, b = [], []
+            comps, nodes, pivots, texts = (batch.column(c) for c in ("comp", "node", "pivots", "texts"))
+            for i, x in enumerate(make(batch.column("text"))):
+                comp, node = comps[i].as_py(), nodes[i].as_py()
+                if comp not in known:
+                    known = {comp: list(zip(pivots[i].as_py(), make(pa.array(texts[i].as_py(), pa.string())), strict=True))}
+                for pivot, y in known[comp]:
+                    if node != pivot and min(len(x), len(y)) * 100 >= PERCENT * max(len(x), len(y)) and enough(np.intersect1d(x, y, assume_unique=True).size, len(x) + len(y)):
+                        a.append(node)
+                        b.append(pivot)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     links = written(members.join(pivots, "comp").mapInArrow(stars, "a long, b long"), "jaccard-stars")
     roots = connected(links, "jaccard-star-components") if not links.isEmpty() else None
-    placed = members.select("comp", "node", "s")
-    placed = placed.join(roots, "node", "left") if roots else placed.withColumn("root", F.lit(None).cast("long"))
-    placed = written(placed.withColumn("root", F.coalesce("root", "node")), "jaccard-placed")
-    sizes = placed.groupBy("comp", "root").count()
-    main = sizes.groupBy("comp").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.sum("count").alias("total"), (F.sum("count") - F.max("count")).alias("rest"))
-    lots = main.select("comp", "main", F.ceil(F.col("total") / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("rest") / BLOCK).cast("int").alias("chunks"))
-    rows = placed.join(lots, "comp").filter("chunks > 0")
-    lot = lambda k: F.pmod(F.xxhash64("node", F.lit(k)), F.col("blocks" if k == 17 else "chunks")).cast("int")
-    each = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    block = rows.select("comp", lot(17).alias("block"), F.explode(each("chunks")).alias("chunk"), "node", "s")
-    chunk = rows.filter("root <> main").select("comp", F.explode(each("blocks")).alias("block"), lot(19).alias("chunk"), "node", "s")
-    return links.unionByName(resolved(block.unionByName(chunk).repartition(n, "comp", "block", "chunk"), ["comp", "block", "chunk"]))
+    placed = members.join(roots, "node", "left") if roots else members.withColumn("root", F.lit(None).cast("long"))
+    placed = placed.withColumn("root", F.coalesce("root", "node"))
+    sizes = written(placed.groupBy("comp", "root").agg(F.sum("n").alias("size")), "jaccard-star-sizes")
+    main = sizes.groupBy("comp").agg(F.max_by("root", F.struct("size", "root")).alias("main"), F.sum("size").alias("total"), (F.sum("size") - F.max("size")).alias("rest"))
+    lots = main.filter("rest > 0").select("comp", "main", F.ceil(F.col("total") / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("rest") / BLOCK).cast("int").alias("chunks"))
+    rows = placed.join(lots, "comp")
+    lot = lambda k, n: F.pmod(F.xxhash64("node", F.lit(k)), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    block = rows.select("comp", lot(17, "blocks").alias("block"), each("chunks").alias("chunk"), "node", "text")
+    chunk = rows.filter("root <> main").select("comp", each("blocks").alias("block"), lot(19, "chunks").alias("chunk"), "node", "text")
+    return links.unionByName(resolved(block.unionByName(chunk), ["comp", "block", "chunk"]))
+
+
+def links_of(docs: DataFrame, firsts: DataFrame, edges: DataFrame, common: np.ndarray, block: int) -> DataFrame:
+    """(a, b) of sets, enough links for the components, from the candidate edges."""
+    sized = lambda found: found.join(firsts, "node").select("node", "n", F.col("first").alias("id"), F.col("root").alias("comp"))
+    comps = written(sized(connected(edges, "jaccard-candidates")), "jaccard-comps-0")
+    small = comps.count() <= BROADCAST_IDS  # with another way beyond
+    near = lambda df, other, on: df.join(F.broadcast(other) if small else other, on)
+    members = written(checked(near(docs, comps.select("id", "node"), "id").select("node", "text")), "jaccard-members", compression="zstd")
+    sizes = lambda: comps.groupBy("comp").agg(F.sum("n").alias("size"))
+    for seed in range(1, 1 + RECUTS):
+        large = sizes().filter(F.col("size") > block).select("comp")
+        inside = comps.join(large, "comp", "left_semi")
+        held = inside.agg(F.count(F.lit(1)), F.countDistinct("comp")).first()
+        if not held[0]:
+            break
+        # chance may have brought them together: cut in another way, linked sets meet again
+        inside = written(inside, f"jaccard-large-{seed}")
+        again = written(candidate_edges(near(members, inside.select("node", "comp"), "node"), common, 1 << max(6, (held[0] // 1000).bit_length()), seed), f"jaccard-edges-{seed}")
+        outside = comps.join(large, "comp", "left_anti").select(*comps.columns)
+        comps = written(outside if again.isEmpty() else outside.unionByName(sized(connected(again, f"jaccard-candidates-{seed}")).select(*comps.columns)), f"jaccard-comps-{seed}")
+    sized_comps = written(comps.join(sizes(), "comp"), "jaccard-sized")
+    fit = near(members, sized_comps.filter(F.col("size") <= block).select("node", "comp"), "node")
+    links = resolved(fit, ["comp"])
+    beyond = sized_comps.filter(F.col("size") > block).select("node", "comp", "n")
+    if not beyond.isEmpty():
+        links = links.unionByName(large_links(near(members, beyond, "node")))
+    return links
 
 
 def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample: int = 8_000, least: int = 6, block: int = BLOCK) -> DataFrame:
@@ -333,21 +383,11 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     common = common_shingles(live, sample, least)
     buckets = 1 << max(6, (sets.count() // 1000).bit_length())
     edges = written(candidate_edges(live, common, buckets), "jaccard-edges")
-    firsts = sets.filter("node IS NOT NULL AND id IS NOT NULL").groupBy("node").agg(F.min("id").alias("first"))
+    firsts = sets.filter("node IS NOT NULL AND id IS NOT NULL").groupBy("node").agg(F.min("id").alias("first"), F.min("n").alias("n"))
     if edges.isEmpty():
         names = firsts.select("node", F.col("first").alias("component_id"))
     else:
-        comps = written(connected(edges, "jaccard-candidates").select("node", F.col("root").alias("comp")), "jaccard-comps")
-        wanted = written(comps.join(firsts, "node").select("comp", "node", F.col("first").alias("id")), "jaccard-wanted")
-        few = wanted.count() <= BROADCAST_IDS
-        texts = live.join(F.broadcast(wanted) if few else wanted, "id").select("comp", "node", "text")
-        members = written(with_sets(texts), "jaccard-members")
-        sizes = members.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
-        sized = members.join(sizes, "comp")
-        links = resolved(sized.filter(F.col("size") <= block).drop("size"), ["comp"])
-        if not sizes.filter(F.col("size") > block).isEmpty():
-            links = links.unionByName(large_links(sized.filter(F.col("size") > block).drop("size")))
-        links = written(links, "jaccard-links")
+        links = written(links_of(live, firsts, edges, common, block), "jaccard-links")
         roots = connected(links, "jaccard-components") if not links.isEmpty() else None
         rooted = firsts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")) if roots else firsts.withColumn("root", F.col("node"))
         names = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("node", "component_id")
