@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, exact_dedup, jaccard_join, language_id, license_scan, secrets, tool_calls, toxicity
+from . import ann, bpe, exact_dedup, jaccard_join, language_id, license_scan, mixing, secrets, tool_calls, toxicity
 
 
 def queries() -> dict:
@@ -15,6 +15,7 @@ def queries() -> dict:
         license_scan.op6_license_scan,
         language_id.op7_language_id,
         jaccard_join.op8_jaccard_join,
+        mixing.op9_mixing,
         bpe.op10_byte_bpe,
     ]
     return {f.__name__: f for f in found}

@@ -40,7 +40,7 @@ REPEAT = re.compile(r"([^\W\d_])\1\1")
 SPELT = str.maketrans("013457@$!", "oieastasi")
 BEGINNINGS = range(3, 8)
 NEAR = 5
-NAMES = ("words", "fixed", "learned", "hits", "second_person", "near_second_person", "capitals", "capital_words", "exclamations", "punctuation", "digits", "obfuscated", "repeated")
+NAMES = ("words", "fixed", "learned", "hits", "second_person", "near_second_person", "capitals", "capital_words", "exclamations", "punctuation", "digits", "obfuscated", "repeated", "distinct", "symbols")
 CACHE = 200_000
 
 
@@ -54,12 +54,15 @@ class Features:
 
     def __init__(self, learned: frozenset[str]) -> None:
         self.learned, self.seen = learned, {}
+        self.heads = frozenset(x[:3] for x in learned)
 
     def kind(self, word: str) -> int:
         """1: in the fixed lexicon, 2: in the learned one, 4: second person."""
         if len(self.seen) > CACHE:
             self.seen.clear()
-        k = (word in LEXICON) + 2 * any(x in self.learned for x in beginnings(word)) + 4 * (word in SECOND_PERSON)
+        k = (word in LEXICON) + 4 * (word in SECOND_PERSON)
+        if word[:3] in self.heads and any(x in self.learned for x in beginnings(word)):
+            k += 2
         self.seen[word] = k
         return k
 
@@ -84,7 +87,7 @@ class Features:
         shouted = sum(map(str.isupper, text.split())) if upper > 0.2 * letters else 0
         fixed = sum(k & 1 for k in kinds) + sum(k & 1 for k in undone)
         learned = sum((k & 2) > 0 for k in kinds) + sum((k & 2) > 0 for k in undone)
-        return [math.log1p(len(words)), fixed / n, learned / n, math.log1p(fixed + learned), len(persons) / n, near / n, upper / letters, shouted / n, byte[33] / n, marks / n, byte[48:58].sum() / n, len(odd) / n, len(REPEAT.findall(text)) / n]
+        return [math.log1p(len(words)), fixed / n, learned / n, math.log1p(fixed + learned), len(persons) / n, near / n, upper / letters, shouted / n, byte[33] / n, marks / n, byte[48:58].sum() / n, len(odd) / n, len(REPEAT.findall(text)) / n, len(set(words)) / n, (byte[35:39].sum() + byte[42] + byte[124]) / n]
 
 
 @dataclass
