@@ -29,18 +29,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, table, written
+from .common import crc_mod, table, tidy, written
 
 #: Insults that count from the start, whatever the labels say.
 LEXICON = frozenset("stupid idiot idiots idiotic moron morons trash garbage disgusting pathetic worthless scum loser losers clown dumb imbecile filth filthy vermin shut hate kill".split())
 SECOND_PERSON = frozenset("you your yours yourself ur u tu te toi vous du dich dir ihr sie usted ustedes vosotros".split())
 WORD = re.compile(r"[^\W_]+")
-ODD = re.compile(r"[^\W\d_]+[*@$#!0-9][*@$#!\w]*[^\W\d_]")
+ODD = re.compile(r"(?<=[^\W\d_])[*@$#!0-9][*@$#!\w]*[^\W\d_]")
 REPEAT = re.compile(r"([^\W\d_])\1\1")
 SPELT = str.maketrans("013457@$!", "oieastasi")
 BEGINNINGS = range(3, 8)
 NEAR = 5
-NAMES = ("words", "fixed", "learned", "hits", "second_person", "near_second_person", "capitals", "capital_words", "exclamations", "punctuation", "digits", "obfuscated", "repeated", "distinct", "symbols")
 CACHE = 200_000
 
 
@@ -50,31 +49,43 @@ def beginnings(word: str) -> list[str]:
 
 
 class Features:
-    """Text to numbers; learned is the lexicon from the labels."""
+    """Text to numbers; each learned lexicon, from labels, gives one density."""
 
-    def __init__(self, learned: frozenset[str]) -> None:
-        self.learned, self.seen = learned, {}
-        self.heads = frozenset(x[:3] for x in learned)
+    def __init__(self, *learned: frozenset[str]) -> None:
+        self.learned = learned
+        self.heads = frozenset(x[:3] for words in learned for x in words)
+        self.plain: set[str] = set()  # words without a kind
+        self.kinds: dict[str, int] = {}
 
     def kind(self, word: str) -> int:
-        """1: in the fixed lexicon, 2: in the learned one, 4: second person."""
-        if len(self.seen) > CACHE:
-            self.seen.clear()
-        k = (word in LEXICON) + 4 * (word in SECOND_PERSON)
-        if word[:3] in self.heads and any(x in self.learned for x in beginnings(word)):
-            k += 2
-        self.seen[word] = k
+        """1: in the fixed lexicon, 2: second person, 4: a letter three times, 8 << i: in learned[i]."""
+        k = (word in LEXICON) + 2 * (word in SECOND_PERSON) + 4 * (REPEAT.search(word) is not None)
+        if word[:3] in self.heads:
+            own = beginnings(word)
+            k += sum(8 << i for i, words in enumerate(self.learned) if any(x in words for x in own))
         return k
 
+    def look_up(self, words: set[str]) -> None:
+        if len(self.plain) > CACHE:
+            self.plain.clear()
+        for w in words - self.plain - self.kinds.keys():
+            if k := self.kind(w):
+                self.kinds[w] = k
+            else:
+                self.plain.add(w)
+
     def __call__(self, text: str | None) -> list[float]:
         text = text or ""
         words = WORD.findall(text.lower())
-        get, kind = self.seen.get, self.kind
-        kinds = [k if (k := get(w)) is not None else kind(w) for w in words]
-        odd = ODD.findall(text) if any(x in text for x in "*@$#!0134579") else []
-        undone = [kind(w) for x in odd for w in WORD.findall(x.lower().translate(SPELT))]
-        hits = [i for i, k in enumerate(kinds) if k & 3]
-        persons = [i for i, k in enumerate(kinds) if k & 4]
+        different = set(words)
+        self.look_up(different)
+        # most words of most texts have no kind; only the others are gone through
+        hot = different & self.kinds.keys()
+        kinds = [(i, self.kinds[w]) for i, w in enumerate(words) if w in hot] if hot else []
+        odd = [self.whole(text, m.start(), m.end()) for m in ODD.finditer(text)]
+        undone = [self.kind(w) for x in odd for w in WORD.findall(x.lower().translate(SPELT))]
+        hits = [i for i, k in kinds if k & ~6]
+        persons = [i for i, k in kinds if k & 2]
         near = j = 0
         for i in hits:
             while j < len(persons) and persons[j] < i - NEAR:
@@ -82,12 +93,21 @@ class Features:
             near += j < len(persons) and persons[j] <= i + NEAR
         n = max(1, len(words))
         byte = np.bincount(np.frombuffer(text.encode("utf-8", "replace"), np.uint8), minlength=128)
-        letters, upper = max(1, byte[97:123].sum() + byte[65:91].sum()), byte[65:91].sum()
-        marks = byte[33:48].sum() + byte[58:65].sum() + byte[91:97].sum() + byte[123:127].sum()
+        upper = int(byte[65:91].sum())
+        letters = max(1, int(byte[97:123].sum()) + upper)
+        marks = int(byte[33:48].sum() + byte[58:65].sum() + byte[91:97].sum() + byte[123:127].sum())
         shouted = sum(map(str.isupper, text.split())) if upper > 0.2 * letters else 0
-        fixed = sum(k & 1 for k in kinds) + sum(k & 1 for k in undone)
-        learned = sum((k & 2) > 0 for k in kinds) + sum((k & 2) > 0 for k in undone)
-        return [math.log1p(len(words)), fixed / n, learned / n, math.log1p(fixed + learned), len(persons) / n, near / n, upper / letters, shouted / n, byte[33] / n, marks / n, byte[48:58].sum() / n, len(odd) / n, len(REPEAT.findall(text)) / n, len(set(words)) / n, (byte[35:39].sum() + byte[42] + byte[124]) / n]
+        every = [k for _, k in kinds] + undone
+        fixed, *learned = (sum((k & bit) > 0 for k in every) for bit in (1, *(8 << i for i in range(len(self.learned)))))
+        return [math.log1p(len(words)), fixed / n, math.log1p(len(hits) + sum((k & ~6) > 0 for k in undone)), len(persons) / n, near / n, upper / letters, shouted / n, byte[33] / n, marks / n, int(byte[48:58].sum()) / n, len(odd) / n, sum((k & 4) > 0 for _, k in kinds) / n, len(different) / n, int(byte[35:39].sum() + byte[42] + byte[124]) / n, *(x / n for x in learned)]
+
+    @staticmethod
+    def whole(text: str, start: int, end: int) -> str:
+        """The letters before an odd place and what follows it."""
+        at = start
+        while at > 0 and start - at < 30 and text[at - 1].isalpha():
+            at -= 1
+        return text[at:end]
 
 
 @dataclass
@@ -247,12 +267,12 @@ def score(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Features(model.learned)
         for batch in batches:
-            x = np.array([make(t.as_py()) for t in batch.column(text_col)]).reshape(batch.num_rows, len(NAMES))
+            x = np.array([make(t.as_py()) for t in batch.column(text_col)]).reshape(batch.num_rows, -1) if batch.num_rows else np.zeros((0, 1))
             s = model.score(x)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s, pa.float64()), pa.array((s >= 0.5).astype("int32"))], [*batch.schema.names, "score", "predicted"])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema), "score double", "predicted int"])
-    return rest.mapInArrow(run, schema)
+    return rest.mapInArrow(tidy(run), schema)
 
 
 def op1_toxicity(spark, sf_dir: str) -> DataFrame:
