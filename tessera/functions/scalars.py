@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import threading
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -17,16 +18,21 @@ DIVISION = "tessera: division by zero"
 OPS = {"=": "__eq__", "!=": "__ne__", "<>": "__ne__", "<": "__lt__", "<=": "__le__", ">": "__gt__", ">=": "__ge__", "+": "__add__", "-": "__sub__", "*": "__mul__"}
 
 
+#: Sessions in other threads share Spark's settings, so plans are built one at a time.
+BUILDING = threading.RLock()
+
+
 @contextlib.contextmanager
 def wrapping(spark: SparkSession) -> Iterator[None]:
     """Integers wrap in what is built inside: the mode is fixed when a DataFrame is analysed."""
     key = "spark.sql.ansi.enabled"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "false")
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
+    with BUILDING:
+        before = spark.conf.get(key)
+        spark.conf.set(key, "false")
+        try:
+            yield
+        finally:
+            spark.conf.set(key, before)
 
 
 @dataclass(frozen=True)
@@ -69,9 +75,6 @@ def constant(value: object) -> Typed:
     return Typed(F.lit(value).cast(kind.spark), kind, literal=value is not None)
 
 
-NULL_BOOL = Typed(None, Kind.BOOL)
-
-
 def null(kind: Kind) -> Typed:
     return Typed(F.lit(None).cast(kind.spark), kind)
 

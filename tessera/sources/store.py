@@ -80,6 +80,12 @@ class Store:
             rows = self.rows(entry, tuple(f for f in entry.files if f in touched)).join(delta.select(key), key, "left_anti").unionByName(live)
         return replace(entry, files=(*kept, *self.write(rows, entry)))
 
+    def compacted(self, entry: Entry) -> Entry:
+        """The same rows in fewer files, in ranges of the primary key, so that scans skip most of them."""
+        if len(entry.files) < 2:
+            return entry
+        return replace(entry, files=self.write(self.rows(entry).repartitionByRange(entry.key.physical), entry))
+
     def vacuum(self) -> int:
         """Deletes data that the current version does not name; no reader may be open."""
         used = {f.split("/")[0] for t in self.catalog.all() for f in t.files}

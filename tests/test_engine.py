@@ -119,6 +119,22 @@ def test_changes(t):
     assert t.vacuum() > 0 and rows(t, "SELECT id FROM t") == ""
 
 
+def test_compaction(t):
+    for i in range(20, 23):
+        t.exec(f"INSERT INTO t VALUES ({i}, 'x', NULL)")
+    before = len(t.catalog.get("t").files)
+    t.compact("t")
+    assert len(t.catalog.get("t").files) < before and rows(t, "SELECT id FROM t") == "1|2|3|4|5|20|21|22"
+
+
+def test_settings_come_back(spark, t):
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    workers = [threading.Thread(target=lambda: [t.sql("SELECT id + 1 FROM t") for _ in range(5)]) for _ in range(4)]
+    [w.start() for w in workers]
+    [w.join() for w in workers]
+    assert spark.conf.get("spark.sql.ansi.enabled") == before
+
+
 def test_keys_that_move_in_order(t):
     t.exec("UPDATE t SET id = id - 1")
     assert rows(t, "SELECT id FROM t") == "0|1|2|3|4"
