@@ -3,8 +3,8 @@
 A text is cut by the tokenizer's pattern. Words that are not yet known to the task go to DuckDB as
 rows (word, position, id of a byte). A recursive query joins neighbouring positions with the merge
 table and contracts, in every word at once, the leftmost pair of the smallest rank, until no word
-has a pair left. Ordered aggregation over positions gives a word's ids, and, through the vocabulary,
-the bytes that its ids decode to. A text's ids and decoded bytes are its words' in order.
+has a pair left. In order of positions these are the words' ids; an ordered aggregation of their
+tokens, looked up in the vocabulary, decodes them. A text's ids and decoded bytes are its words' in order.
 
 The merge table has every pair of tokens whose bytes together are a token, with its rank. A word that
 is a token stands for itself, as the tiktoken library has it. Words of more than LONG bytes, each of
@@ -22,35 +22,42 @@ from __future__ import annotations
 import base64
 import heapq
 from collections.abc import Iterable, Iterator
-from itertools import chain
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, tidy
 
-GROUP, CACHE, LONG, CHUNK = 2_000_000, 300_000, 400, 20_000
+GROUP, CACHE, LONG, CHUNK = 1_000_000, 300_000, 400, 20_000
 
+#: State: a row for each token of a word, with its position and the next token's position and id.
 CONTRACT = """
-WITH RECURSIVE bpe(step, word, pos, id) AS (
-  SELECT 0, word, pos, id FROM parts
+CREATE OR REPLACE TEMP TABLE contracted AS
+WITH RECURSIVE bpe(step, word, pos, id, next_pos, next_id) AS (
+  SELECT 0, word, pos, id, next_pos, next_id FROM parts
   UNION ALL
-  (WITH pairs AS (
-     SELECT step, word, pos, id, lead(id) OVER w AS next_id, lead(pos) OVER w AS next_pos FROM bpe WINDOW w AS (PARTITION BY word ORDER BY pos)
-   ), ranked AS (
-     SELECT p.step, p.word, p.pos, p.id, p.next_pos, m.rank FROM pairs p LEFT JOIN merges m ON p.id = m.a AND p.next_id = m.b
+  (WITH ranked AS (
+     SELECT b.word, b.next_pos, m.rank::BIGINT * 1048576 + b.pos AS place FROM bpe b JOIN merges m ON b.id = m.a AND b.next_id = m.b
    ), best AS (
-     SELECT word, min(rank::BIGINT * 1048576 + pos) AS first, arg_min(next_pos, rank::BIGINT * 1048576 + pos) AS gone FROM ranked WHERE rank IS NOT NULL GROUP BY word
+     SELECT word, min(place) AS place, arg_min(next_pos, place) AS gone FROM ranked GROUP BY word
+   ), cut AS (
+     SELECT best.word, place % 1048576 AS spot, (place // 1048576)::INTEGER AS made, gone, g.next_pos AS new_pos, g.next_id AS new_id
+     FROM best JOIN bpe g ON g.word = best.word AND g.pos = best.gone
    )
-   SELECT step + 1, r.word, r.pos, CASE WHEN r.pos = first % 1048576 THEN (first // 1048576)::INTEGER ELSE r.id END
-   FROM ranked r JOIN best ON r.word = best.word WHERE r.pos <> gone)
-)
-SELECT word, list(id ORDER BY pos) AS ids, string_agg(hex, '' ORDER BY pos) AS decoded
-FROM (SELECT * FROM bpe QUALIFY step = max(step) OVER (PARTITION BY word)) JOIN vocabulary USING (id) GROUP BY word
+   SELECT b.step + 1, b.word, b.pos,
+     CASE WHEN b.pos = spot THEN made ELSE b.id END,
+     CASE WHEN b.pos = spot THEN new_pos ELSE b.next_pos END,
+     CASE WHEN b.pos = spot THEN new_id WHEN b.next_pos = spot THEN made ELSE b.next_id END
+   FROM bpe b JOIN cut ON b.word = cut.word WHERE b.pos <> gone)
+), ends AS (SELECT word, max(step) AS step FROM bpe GROUP BY word)
+SELECT b.word, b.pos, b.id FROM bpe b JOIN ends ON b.word = ends.word AND b.step = ends.step
 """
+ENCODED = "SELECT word, id FROM contracted ORDER BY word, pos"
+DECODED = "SELECT string_agg(hex, '' ORDER BY word, pos) AS decoded FROM contracted JOIN vocabulary USING (id)"
 
 
 def ranks_of(path: str) -> dict[bytes, int]:
@@ -101,7 +108,9 @@ class Encoder:
         self.ranks, self.find = ranks, regex.compile(pattern).findall
         self.byte = np.array([ranks.get(bytes([i]), -1) for i in range(256)], np.int32)
         self.tokens = {k: t for t, k in ranks.items()}
-        self.known: dict[str, tuple[tuple[int, ...], bytes]] = {}
+        self.sizes = np.zeros(max(self.tokens, default=0) + 1, np.int64)
+        self.sizes[list(self.tokens)] = [len(t) for t in self.tokens.values()]
+        self.known: dict[str, tuple[bytes, bytes]] = {}  # ids as 32-bit numbers, and what they decode to
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB"})
         for name, cols in (("merges", dict(zip(("a", "b", "rank"), merges, strict=True))), ("vocabulary", {"id": np.array(list(self.tokens), np.int32), "hex": [t.hex() for t in self.tokens.values()]})):
             self.db.register("given", pa.table(cols))
@@ -113,10 +122,10 @@ class Encoder:
         for w in words:
             raw = w.encode("utf-8", "replace")
             if (k := self.ranks.get(raw)) is not None:
-                self.known[w] = ((k,), self.tokens[k])
+                self.known[w] = (k.to_bytes(4, "little"), self.tokens[k])
             elif len(raw) > LONG:
                 ids = contract_long(raw, self.ranks)
-                self.known[w] = (tuple(ids), b"".join(map(self.tokens.__getitem__, ids)))
+                self.known[w] = (np.array(ids, "<i4").tobytes(), b"".join(map(self.tokens.__getitem__, ids)))
             else:
                 todo.append((w, raw))
         for at in range(0, len(todo), CHUNK):
@@ -125,12 +134,21 @@ class Encoder:
     def _contract(self, todo: list[tuple[str, bytes]]) -> None:
         n = np.array([len(raw) for _, raw in todo])
         ids = self.byte[np.frombuffer(b"".join(raw for _, raw in todo), np.uint8)]
-        start = np.repeat(np.cumsum(n) - n, n)
-        self.db.register("parts", pa.table({"word": np.repeat(np.arange(len(todo), dtype=np.int32), n), "pos": (np.arange(len(ids)) - start).astype(np.int32), "id": ids}))
-        got = self.db.execute(CONTRACT).fetchnumpy()
+        ends = np.cumsum(n)
+        pos = (np.arange(len(ids)) - np.repeat(ends - n, n)).astype(np.int32)
+        after, next_id = pos + 1, np.append(ids[1:], -1)
+        after[ends - 1] = next_id[ends - 1] = -1
+        self.db.register("parts", pa.table({"word": np.repeat(np.arange(len(todo), dtype=np.int32), n), "pos": pos, "id": ids, "next_pos": after, "next_id": next_id.astype(np.int32)}))
+        self.db.execute(CONTRACT).fetchall()
         self.db.unregister("parts")
-        for i, one, decoded in zip(got["word"].tolist(), got["ids"], got["decoded"], strict=True):
-            self.known[todo[i][0]] = (tuple(map(int, one)), bytes.fromhex(decoded))
+        got = self.db.execute(ENCODED).fetchnumpy()
+        decoded = bytes.fromhex(self.db.execute(DECODED).fetchall()[0][0])
+        made = np.asarray(got["id"]).astype("<i4")
+        to = np.searchsorted(np.asarray(got["word"]), np.arange(len(todo) + 1))
+        size = np.concatenate([[0], np.cumsum(self.sizes[made])])[to].tolist()
+        raw, to = made.tobytes(), (4 * to).tolist()
+        for i, (w, _) in enumerate(todo):
+            self.known[w] = (raw[to[i] : to[i + 1]], decoded[size[i] : size[i + 1]])
 
     def __call__(self, texts: list[str]) -> Iterator[tuple[np.ndarray, bytes]]:
         cut = [self.find(t) for t in texts]
@@ -139,7 +157,7 @@ class Encoder:
         self.learn({w for words in cut for w in words if w not in self.known})
         for words in cut:
             pairs = [self.known[w] for w in words]
-            yield np.fromiter(chain.from_iterable(p[0] for p in pairs), np.int32), b"".join([p[1] for p in pairs])
+            yield np.frombuffer(b"".join([p[0] for p in pairs]), "<i4"), b"".join([p[1] for p in pairs])
 
 
 def encode_decode(docs: DataFrame, path: str, pattern: str, *, text_col: str = "text") -> DataFrame:
@@ -153,19 +171,18 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, *, text_col: str = "
         encode = None
         for batch in batches:
             encode = encode or Encoder(*shared.value, pattern)
-            texts, at = [x or "" for x in batch.column(text_col).to_pylist()], 0
-            while at < len(texts):
-                to, size = at + 1, len(texts[at])
-                while to < len(texts) and size + len(texts[to]) <= GROUP:
-                    size, to = size + len(texts[to]), to + 1
-                got = list(encode(texts[at:to]))
+            ends, at = np.cumsum(pc.fill_null(pc.utf8_length(batch.column(text_col)), 0).to_numpy(zero_copy_only=False)), 0
+            while at < batch.num_rows:
+                before = ends[at - 1] if at else 0
+                to = max(at + 1, int(np.searchsorted(ends, before + GROUP, side="right")))
+                got = list(encode([x or "" for x in batch.column(text_col).slice(at, to - at).to_pylist()]))
                 offsets = np.concatenate([[0], np.cumsum([len(g[0]) for g in got])]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([g[0] for g in got]), pa.int32()))
                 yield pa.RecordBatch.from_arrays([*batch.slice(at, to - at).columns, ids, pa.array([g[1] for g in got], pa.binary())], [*batch.schema.names, "ids", "decoded"])
                 at = to
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema), "ids array<int>", "decoded binary"])
-    return rest.mapInArrow(run, schema)
+    return rest.mapInArrow(tidy(run), schema)
 
 
 def op10_byte_bpe(spark, sf_dir: str) -> DataFrame:
