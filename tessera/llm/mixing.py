@@ -25,7 +25,7 @@ equal rates and copies. Columns of docs are passed on; columns of the result's n
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -33,8 +33,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, written
-from .toxicity import WORD, Features, Model, Trees, isotonic, learn_lexicon
+from .common import table, tidy, written
+from .toxicity import Features, Model, Trees, isotonic, learn_lexicon
 
 NEW = "posterior array<double>, tokens long"
 
@@ -48,9 +48,8 @@ class Domains:
     lexicons: list[frozenset[str]] = field(default_factory=list)
     models: list[Model] = field(default_factory=list)
 
-    def features(self) -> Callable[[str], list[float]]:
-        made = [Features(x) for x in self.lexicons]
-        return lambda text: [*made[0](text), *(hits(f, text) for f in made[1:])]
+    def features(self) -> Features:
+        return Features(*self.lexicons)
 
     def posterior(self, x: np.ndarray) -> np.ndarray:
         if not self.models:
@@ -59,12 +58,6 @@ class Domains:
         return p / p.sum(1, keepdims=True)
 
 
-def hits(f: Features, text: str) -> float:
-    """Share of words that begin as f's lexicon has it."""
-    words = WORD.findall(text.lower())
-    return sum((f.seen.get(w) or f.kind(w)) & 2 > 0 for w in words) / max(1, len(words))
-
-
 def fit_domains(docs: DataFrame, labels: DataFrame, domain: Column, *, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 8_000, folds: int = 3) -> Domains:
     marked = labels.select(F.col(id_col).alias("id"), domain.cast("string").alias("domain")).filter("id IS NOT NULL AND domain IS NOT NULL").groupBy("id").agg(F.min("domain").alias("domain"))
     some = marked.orderBy(F.xxhash64("id", F.lit(29)), "id").limit(sample_rows)
@@ -79,7 +72,7 @@ def fit_domains(docs: DataFrame, labels: DataFrame, domain: Column, *, id_col: s
     if len(names) == 1:
         return made
     rare = [x for x in names if count[x] < max(count.values())]
-    made.lexicons = [learn_lexicon(rows.select("text", (F.col("domain") == x).cast("int").alias("y")), n, count[x]) for x in sorted(rare, key=lambda x: -count[x])] or [frozenset()]
+    made.lexicons = [learn_lexicon(rows.select("text", (F.col("domain") == x).cast("int").alias("y")), n, count[x]) for x in sorted(rare, key=lambda x: -count[x])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = made.features()
@@ -110,19 +103,19 @@ def memberships(docs: DataFrame, model: Domains, *, text_col: str = "text") -> D
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(p), pa.list_(pa.float64())), pa.array([t.count(" ") + t.count("\n") + 1 if t else 0 for t in texts], pa.int64())], [*batch.schema.names, "posterior", "tokens"])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema), NEW])
-    return rest.mapInArrow(run, schema)
+    return rest.mapInArrow(tidy(run), schema)
 
 
-def rate_after(steps: list[list[float]], domains: int) -> Column:
-    """The rate after gradient steps: from 1, each takes posterior . step, never below 0."""
+def rate_after(steps: list[list[float]], domains: int, least: float = 0.0) -> Column:
+    """The rate after gradient steps: from 1, each takes posterior . step, never below least."""
     if not steps:
         return F.lit(1.0)
     taken = F.from_json(F.lit(str(steps)), "array<array<double>>")
     dot = lambda s: sum((F.col("posterior")[i] * s[i] for i in range(1, domains)), F.col("posterior")[0] * s[0])
-    return F.aggregate(taken, F.lit(1.0), lambda r, s: F.greatest(F.lit(0.0), r - dot(s)))
+    return F.aggregate(taken, F.lit(1.0), lambda r, s: F.greatest(F.lit(float(least)), r - dot(s)))
 
 
-def fit_rates(members: DataFrame, names: list[str], weights: dict[str, float] | None, boost: dict[str, float] | None, budget: float | None, *, most: int = 40, close: float = 1e-3) -> tuple[list[list[float]], np.ndarray, np.ndarray]:
+def fit_rates(members: DataFrame, names: list[str], weights: dict[str, float] | None, boost: dict[str, float] | None, budget: float | None, least: float = 0.0, *, most: int = 40, close: float = 1e-3) -> tuple[list[list[float]], np.ndarray, np.ndarray]:
     """(steps, targets, reached) by projected gradient; members has posterior and tokens."""
     k = len(names)
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
@@ -130,9 +123,9 @@ def fit_rates(members: DataFrame, names: list[str], weights: dict[str, float] |
 
     def totals(steps: list[list[float]]) -> tuple[np.ndarray, np.ndarray]:
         """Expected tokens of each domain, and the curvature over the documents whose rate can move."""
-        rated = members.select("posterior", "tokens", rate_after(steps, k).alias("rate"))
+        rated = members.select("posterior", "tokens", rate_after(steps, k, least).alias("rate"))
         sums = [F.sum(F.col("tokens") * F.col("rate") * x) for x in p]
-        got = rated.agg(*sums, *(F.sum(F.when(F.col("rate") > 0, F.col("tokens") * p[i] * p[j])) for i, j in pairs)).first()
+        got = rated.agg(*sums, *(F.sum(F.when(F.col("rate") > (least if steps else -1.0), F.col("tokens") * p[i] * p[j])) for i, j in pairs)).first()
         curve = np.zeros((k, k))
         for (i, j), v in zip(pairs, got[k:], strict=True):
             curve[i, j] = curve[j, i] = v or 0.0
@@ -167,12 +160,13 @@ class Mix:
     target: np.ndarray
     reached: np.ndarray
     members: DataFrame
+    least: float = 0.0
 
     def rates(self, rows: DataFrame, id_col: str) -> DataFrame:
         """rows, which have posterior and tokens, with rate and copies."""
         draw = F.pmod(F.xxhash64(F.col(id_col), F.lit(41)), F.lit(1_000_000)) / 1e6
         copies = F.floor("rate") + F.when(draw < F.col("rate") - F.floor("rate"), 1).otherwise(0)
-        return rows.withColumn("rate", rate_after(self.steps, len(self.model.names))).withColumn("copies", copies.cast("int"))
+        return rows.withColumn("rate", rate_after(self.steps, len(self.model.names), self.least)).withColumn("copies", copies.cast("int"))
 
     def repeated(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """docs, each row as often as its copies, with docs' own columns. Posteriors are worked out
@@ -184,13 +178,14 @@ class Mix:
         return once.select(*(F.col(n).alias(c) for c, n in names.items()))
 
 
-def fit_mix(docs: DataFrame, labels: DataFrame, domain: str, *, weights: dict[str, float] | None = None, boost: dict[str, float] | None = None, budget: float | None = None, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 8_000) -> Mix:
-    """weights: target shares by domain; or boost: factors on the shares found, 1 where not named."""
+def fit_mix(docs: DataFrame, labels: DataFrame, domain: str, *, weights: dict[str, float] | None = None, boost: dict[str, float] | None = None, budget: float | None = None, least: float = 0.0, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 8_000) -> Mix:
+    """weights: target shares by domain; or boost: factors on the shares found, 1 where not named.
+    least: the rate that no document goes below; at 1 none is lost."""
     model = fit_domains(docs, labels, F.expr(domain), id_col=id_col, text_col=text_col, sample_rows=sample_rows)
     found = memberships(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), model)
     members = written(found.select("id", "posterior", "tokens"), "mixing-members")
-    steps, target, reached = fit_rates(members, model.names, weights, boost, budget)
-    return Mix(model, steps, target, reached, members)
+    steps, target, reached = fit_rates(members, model.names, weights, boost, budget, least)
+    return Mix(model, steps, target, reached, members, least)
 
 
 #: The labels make three domains: good prose, poor prose and toxic text.
