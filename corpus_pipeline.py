@@ -35,7 +35,7 @@ def remove_near_copies(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_domains(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated at the rates that give domains their target shares of tokens."""
-    fitted = mixing.fit_mix(docs, table(spark, sf_dir, "labels"), mixing.DOMAIN, boost=BOOST)
+    fitted = mixing.fit_mix(docs, table(spark, sf_dir, "labels"), mixing.DOMAIN, boost=BOOST, least=1.0)
     return fitted.repeated(docs)
 
 
