@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, table, written
+from .common import shuffle_partitions, table, tidy, written
 from .components import connected
 from .shingles import FACTORS, Hasher, U, fingerprint, mix
 
@@ -135,7 +135,7 @@ def sets_of(docs: DataFrame) -> DataFrame:
             got = [(len(s), fingerprint(s) if len(s) else None) for s in make(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64())], ["id", "n", "node"])
 
-    return docs.mapInArrow(run, "id long, n long, node long")
+    return docs.mapInArrow(tidy(run), "id long, n long, node long")
 
 
 BLOBS = "bucket int, keys binary, nodes binary, a binary, b binary"
@@ -194,8 +194,8 @@ def candidate_edges(docs: DataFrame, common: np.ndarray, buckets: int, seed: int
             e = np.unique(np.concatenate(found, axis=1), axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(e[0]), pa.array(e[1])], ["a", "b"])
 
-    sent = docs.mapInArrow(index, BLOBS).repartition(shuffle_partitions(docs.sparkSession), "bucket").sortWithinPartitions("bucket")
-    return sent.mapInArrow(merge, "a long, b long").distinct()
+    sent = docs.mapInArrow(tidy(index), BLOBS).repartition(shuffle_partitions(docs.sparkSession), "bucket").sortWithinPartitions("bucket")
+    return sent.mapInArrow(tidy(merge), "a long, b long").distinct()
 
 
 def grouped(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[dict[str, list]]:
@@ -293,7 +293,7 @@ def resolved(members: DataFrame, by: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(nodes[root[moved]])], ["a", "b"])
 
     spread = members.repartition(shuffle_partitions(members.sparkSession), *by).sortWithinPartitions(*by)
-    return spread.mapInArrow(run, "a long, b long")
+    return spread.mapInArrow(tidy(run), "a long, b long")
 
 
 def checked(texts: DataFrame) -> DataFrame:
@@ -306,7 +306,7 @@ def checked(texts: DataFrame) -> DataFrame:
             ok = [i for i, s in enumerate(make(batch.column("text"))) if len(s) and fingerprint(s) == want[i]]
             yield batch.take(pa.array(ok, pa.int64()))
 
-    return texts.mapInArrow(run, "node long, text string")
+    return texts.mapInArrow(tidy(run), "node long, text string")
 
 
 def large_links(members: DataFrame) -> DataFrame:

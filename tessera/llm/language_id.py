@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc_mod, table
+from .common import crc_mod, table, tidy
 
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 LEVEL, BLOCK = 9, 2048
@@ -86,7 +86,7 @@ def identify(docs: DataFrame, dictionaries: list[tuple[str, bytes]], *, text_col
             yield pa.RecordBatch.from_arrays([*batch.columns, *cols], [*batch.schema.names, *new])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema), OUT])
-    return rest.mapInArrow(run, schema)
+    return rest.mapInArrow(tidy(run), schema)
 
 
 def op7_language_id(spark, sf_dir: str) -> DataFrame:
