@@ -115,6 +115,17 @@ def conflict(rows: DataFrame, entry: Entry, table: Table) -> object:
     return bad[0] if bad else None
 
 
+def rewritten(s: n.Update | n.Delete, entry: Entry, table: Table, old: DataFrame) -> DataFrame:
+    """old, rows of some of the table's files, as the statement leaves them; keys do not move."""
+    with wrapping(old.sparkSession):
+        scope = scope_of(table)
+        hit = F.lit(True) if s.where is None else F.coalesce(condition(compiled(s.where, scope)), F.lit(False))
+        if isinstance(s, n.Delete):
+            return old.filter(~hit)
+        new = {entry.column(name).position: compiled(e, scope).to(entry.column(name).kind) for name, e in s.sets}
+        return old.select(*(F.when(hit, new[c.position]).otherwise(F.col(c.physical)).alias(c.physical) if c.position in new else F.col(c.physical) for c in entry.columns))
+
+
 def updated(rows: DataFrame, entry: Entry, moves: bool) -> DataFrame:
     fresh = rows.select(*(F.col(f"n{c.position}").alias(c.physical) for c in entry.columns), F.lit(False).alias(DELETED))
     if not moves:

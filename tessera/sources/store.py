@@ -72,14 +72,19 @@ class Store:
         if entry.files:
             bounds = delta.agg(F.min(key), F.max(key)).first()
             old = self.rows(entry).filter(F.col(key).between(*(F.lit(b) for b in bounds)))  # skips files by statistics
-            found = old.select(key, F.input_file_name().alias("file")).join(delta.select(key), key, "left_semi").select("file").distinct().collect()  # one row a file
-            touched = {"/".join(r[0].split("/")[-2:]) for r in found}
+            named = old.select(key, F.input_file_name().alias("file")).join(delta.select(key), key, "left_semi")
+            touched = {"/".join(r[0].split("/")[-2:]) for r in named.select("file").distinct().collect()}  # one value a file
         kept = tuple(f for f in entry.files if f not in touched)
         rows = live
         if touched:
             rows = self.rows(entry, tuple(f for f in entry.files if f in touched)).join(delta.select(key), key, "left_anti").unionByName(live)
         return replace(entry, files=(*kept, *self.write(rows, entry)))
 
+    def files_of(self, rows: DataFrame) -> set[str]:
+        """The data files that hold rows, which come from a scan: one value a file reaches the driver."""
+        found = rows.select(F.input_file_name().alias("file")).distinct().collect()
+        return {"/".join(r[0].split("/")[-2:]) for r in found}
+
     def compacted(self, entry: Entry) -> Entry:
         """The same rows in fewer files, in ranges of the primary key, so that scans skip most of them."""
         if len(entry.files) < 2:
