@@ -34,7 +34,7 @@ def brute_dedup(rows):
 def dedup_rows():
     rng = random.Random(1)
     texts = ["", None, " \n", "a b", "ab", "a\x0bb ", "é é", "éé", "a\xa0b", LONG, LONG + " ", *("x" * n for n in range(40))]
-    return [(i, rng.choice(texts)) for i in range(300)] + [(-5, "a b"), (2**62, "ab"), (-(2**62), "é\té")]
+    return [(i, rng.choice(texts)) for i in range(300)] + [(-5, "a b"), (2**63 - 1, "ab"), (-(2**63), "é\té"), (2**63 - 2, "q q"), (-(2**63) + 1, "qq")]
 
 
 @pytest.mark.parametrize(("bits", "capacity", "depth"), [(64, 100_000, 16), (64, 4, 5), (3, 2, 4), (1, 1, 2)])
