@@ -105,7 +105,7 @@ def link(messages: DataFrame, schemas: dict = SCHEMAS) -> DataFrame:
     """One row for each call or orphan result: conv_id, call_id, turn, place, level, name, status, n_calls,
     n_results, result_turn, errors and json."""
     calls, results = first_of_each(*messages_apart(messages))
-    rows = calls.join(results, ["conv_id", "call_id"], "full_outer")
+    rows = calls.join(results.hint("shuffle_hash"), ["conv_id", "call_id"], "full_outer")  # keys are unique by now, so no partition is large
     ranked = levels(calls)
     rows = rows.join(ranked, ["conv_id", "call_id"], "left") if ranked else rows.withColumn("level", F.lit(0))
     status = F.when(F.col("n_calls").isNull(), "orphan result").when(F.col("name") == "system", "notice").when(F.col("n_results").isNull(), "no result").when(F.col("result_turn") < F.col("turn"), "result before call").otherwise("linked")
