@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import shuffle_partitions, table, written
 from .jaccard_join import grouped
@@ -102,6 +103,8 @@ def neighbours(vectors: DataFrame, queries: Column, *, k: int = 20, id_col: str
     axes = axes or (2 if total >= two_axes_from else 1)
     uneven = largest > smallest * (1 + 1e-5)
     turn = Rotations(dimension + uneven, tables, axes, seed)
+    narrow = isinstance(vectors.schema[vec_col].dataType.elementType, T.FloatType)  # then 32 bits hold each number exactly
+    kind = "<f4" if narrow else "<f8"
     lots = max(1, -(-2 * total // (block * (2 * turn.size) ** axes)))
 
     def unit(x: np.ndarray, query: bool) -> np.ndarray:
@@ -116,7 +119,7 @@ def neighbours(vectors: DataFrame, queries: Column, *, k: int = 20, id_col: str
                 for at in range(0, batch.num_rows, 2048):
                     b = batch.slice(at, 2048)
                     v = b.column("v").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
-                    ids, x, raw = b.column("id").to_numpy(), unit(v, as_query), pa.array([r.tobytes() for r in v], pa.binary())
+                    ids, x, raw = b.column("id").to_numpy(), unit(v, as_query), pa.array([r.tobytes() for r in v.astype(kind)], pa.binary())
                     for t in range(tables):
                         of = turn.probes(x, t, probes) if as_query else turn.buckets(x, t)[:, None]
                         who, key = np.repeat(np.arange(len(x)), of.shape[1]), of.ravel()
@@ -134,7 +137,7 @@ def neighbours(vectors: DataFrame, queries: Column, *, k: int = 20, id_col: str
             asks, ids = np.array(rows["asks"]), np.array(rows["id"], np.int64)
             if asks.all() or not asks.any():
                 continue
-            v = np.frombuffer(b"".join(rows["v"])).reshape(len(ids), -1)
+            v = np.frombuffer(b"".join(rows["v"]), kind).reshape(len(ids), -1).astype(np.float64)
             names, points_v, n = ids[~asks], v[~asks], min(k + 1, int((~asks).sum()))
             for at in range(0, int(asks.sum()), 256):
                 who = ids[asks][at : at + 256]
@@ -145,12 +148,14 @@ def neighbours(vectors: DataFrame, queries: Column, *, k: int = 20, id_col: str
                 q, p = q[order], p[order]
                 place = np.arange(len(q)) - np.searchsorted(q, q)
                 q, p = q[place < 2 * n], p[place < 2 * n]
-                yield pa.RecordBatch.from_arrays([pa.array(who[q]), pa.array(names[p])], ["q", "point"])
+                yield pa.RecordBatch.from_arrays([pa.array(who[q]), pa.array(names[p]), pa.array(s[q, p])], ["q", "point", "s"])
 
     out = "t int, bucket long, lot int, asks boolean, id long, v binary"
     pairs = all_points.select("v", F.col("ids")[0].alias("id")).mapInArrow(sent(False), out).unionByName(asking.mapInArrow(sent(True), out))
     spread = pairs.repartition(shuffle_partitions(spark), "t", "bucket", "lot").sortWithinPartitions("t", "bucket", "lot")
-    found = spread.mapInArrow(compare, "q long, point long").distinct()
+    found = spread.mapInArrow(compare, "q long, point long, s double").groupBy("q", "point").agg(F.max("s").alias("s"))
+    # twice as many as are wanted, whose scores are then worked out in one way for all
+    found = found.groupBy("q").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("s")).alias("m"), "point"))), 1, 2 * (k + 1)).alias("x")).select("q", F.explode("x.point").alias("point"))
     near = found.join(all_points.select(F.col("ids")[0].alias("point"), F.col("v").alias("pv"), "ids"), "point").join(asking.select(F.col("id").alias("q"), F.col("v").alias("qv")), "q")
     dot = F.aggregate(F.zip_with("pv", "qv", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
     scored = near.select("qv", dot.alias("score"), "ids")
