@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import table, tidy
 
-GROUP, CACHE, LONG, CHUNK = 1_000_000, 300_000, 400, 20_000
+GROUP, CACHE, LONG, CHUNK = 1_500_000, 250_000, 400, 20_000
 
 #: State: a row for each token of a word, with its position and the next token's position and id.
 CONTRACT = """
@@ -110,8 +110,9 @@ class Encoder:
         self.tokens = {k: t for t, k in ranks.items()}
         self.sizes = np.zeros(max(self.tokens, default=0) + 1, np.int64)
         self.sizes[list(self.tokens)] = [len(t) for t in self.tokens.values()]
-        self.known: dict[str, tuple[bytes, bytes]] = {}  # ids as 32-bit numbers, and what they decode to
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB"})
+        self.known: dict[str, bytes] = {}  # ids as 32-bit numbers
+        self.decoded: dict[str, bytes] = {}  # and what they decode to
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "256MB"})
         for name, cols in (("merges", dict(zip(("a", "b", "rank"), merges, strict=True))), ("vocabulary", {"id": np.array(list(self.tokens), np.int32), "hex": [t.hex() for t in self.tokens.values()]})):
             self.db.register("given", pa.table(cols))
             self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
@@ -122,10 +123,10 @@ class Encoder:
         for w in words:
             raw = w.encode("utf-8", "replace")
             if (k := self.ranks.get(raw)) is not None:
-                self.known[w] = (k.to_bytes(4, "little"), self.tokens[k])
+                self.known[w], self.decoded[w] = k.to_bytes(4, "little"), self.tokens[k]
             elif len(raw) > LONG:
                 ids = contract_long(raw, self.ranks)
-                self.known[w] = (np.array(ids, "<i4").tobytes(), b"".join(map(self.tokens.__getitem__, ids)))
+                self.known[w], self.decoded[w] = np.array(ids, "<i4").tobytes(), b"".join(map(self.tokens.__getitem__, ids))
             else:
                 todo.append((w, raw))
         for at in range(0, len(todo), CHUNK):
@@ -148,16 +149,16 @@ class Encoder:
         size = np.concatenate([[0], np.cumsum(self.sizes[made])])[to].tolist()
         raw, to = made.tobytes(), (4 * to).tolist()
         for i, (w, _) in enumerate(todo):
-            self.known[w] = (raw[to[i] : to[i + 1]], decoded[size[i] : size[i + 1]])
+            self.known[w], self.decoded[w] = raw[to[i] : to[i + 1]], decoded[size[i] : size[i + 1]]
 
     def __call__(self, texts: list[str]) -> Iterator[tuple[np.ndarray, bytes]]:
         cut = [self.find(t) for t in texts]
         if len(self.known) > CACHE:
             self.known.clear()
-        self.learn({w for words in cut for w in words if w not in self.known})
+            self.decoded.clear()
+        self.learn(set().union(*cut) - self.known.keys())
         for words in cut:
-            pairs = [self.known[w] for w in words]
-            yield np.frombuffer(b"".join([p[0] for p in pairs]), "<i4"), b"".join([p[1] for p in pairs])
+            yield np.frombuffer(b"".join(map(self.known.__getitem__, words)), "<i4"), b"".join(map(self.decoded.__getitem__, words))
 
 
 def encode_decode(docs: DataFrame, path: str, pattern: str, *, text_col: str = "text") -> DataFrame:
