@@ -14,8 +14,9 @@ Equal vectors are one point, with the smallest ``k + 1`` of their ids, because t
 a vector that a third of all rows share is one row from the first shuffle on. Buckets are split into
 blocks of at most ``block`` points by a hash; queries of a bucket meet each of its blocks.
 
-With ``axes = 2`` a bucket is the nearest axes under two rotations, which suits tables of many
-millions of vectors; the default is one below ``two_axes_from`` points. Null vectors, zero ones, ones
+With ``axes = 2`` a bucket is the nearest axes under two rotations. That parts tables more finely, but
+the default tables and probes reach far too few of such buckets, so the default is one axis for
+tables of every size: recall must not fall as tables grow. Null vectors, zero ones, ones
 with a null or non-finite component and ones of another length than most take no part; null ids
 neither. Of rows repeated whole one counts; a query sees every other id, a copy of its vector included.
 """
@@ -92,7 +93,7 @@ def points(rows: DataFrame, k: int) -> DataFrame:
     return run.groupBy("v", "lot").agg(least(F.flatten(F.collect_list("ids"))).alias("ids")).groupBy("v").agg(least(F.flatten(F.collect_list("ids"))).alias("ids"))
 
 
-def neighbours(vectors: DataFrame, queries: Column, *, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", tables: int = 10, probes: int = 14, axes: int | None = None, two_axes_from: int = 5_000_000, block: int = 4096, seed: int = 20) -> DataFrame:
+def neighbours(vectors: DataFrame, queries: Column, *, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", tables: int = 10, probes: int = 14, axes: int = 1, block: int = 4096, seed: int = 20) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of every row for which `queries` holds."""
     spark = vectors.sparkSession
     rows = usable(vectors.select(id_col, vec_col, queries.alias("asks")), id_col, vec_col)
@@ -100,7 +101,6 @@ def neighbours(vectors: DataFrame, queries: Column, *, k: int = 20, id_col: str
     asked = rows.filter("asks").select(F.col("id").alias("query_id"), "v").distinct()
     norm2 = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
     total, dimension, largest, smallest = all_points.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("v")), F.lit(1)), F.coalesce(F.max(norm2), F.lit(1.0)), F.coalesce(F.min(norm2), F.lit(1.0))).first()
-    axes = axes or (2 if total >= two_axes_from else 1)
     uneven = largest > smallest * (1 + 1e-5)
     turn = Rotations(dimension + uneven, tables, axes, seed)
     narrow = isinstance(vectors.schema[vec_col].dataType.elementType, T.FloatType)  # then 32 bits hold each number exactly

@@ -128,6 +128,23 @@ def test_recall(spark):
     assert hit >= 0.9 * 75 * 20
 
 
+def test_recall_holds_on_large_tables(spark, monkeypatch):
+    """With the registered query's values, in a table that counts as one of six million vectors."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(1500, 64))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    count = F.count
+    monkeypatch.setattr(ann.F, "count", lambda c: count(c) + 6_000_000)
+    found = ann.neighbours(df, F.col("vec_id") % 20 == 0)
+    monkeypatch.undo()
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    x = x.astype(float)
+    assert sum(len(got.get(q, set()) & {v for v, _ in nearest(np.arange(1500), x, q, 20)}) for q in range(0, 1500, 20)) >= 0.9 * 75 * 20
+
+
 @pytest.mark.parametrize(("axes", "block"), [(1, 4096), (1, 16), (2, 4096)])
 def test_neighbour_edges(spark, axes, block):
     rng = np.random.default_rng(2)
