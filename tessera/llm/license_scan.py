@@ -37,11 +37,11 @@ LICENSES = [
     ("gpl-2.0", "general public", r"(?:GNU\s+)?General\s+Public\s+licen[cs]e,?\s+(?:version|v)\.?\s*2(?:\.0)?\b", "GPL-2.0(?:-only|-or-later|\\+)?", r"gnu\.org/licenses/(?:old-licenses/)?gpl-2"),
     ("gpl-3.0", "general public", r"(?:GNU\s+)?General\s+Public\s+licen[cs]e,?\s+(?:version|v)\.?\s*3(?:\.0)?\b", "GPL-3.0(?:-only|-or-later|\\+)?", r"gnu\.org/licenses/gpl-3"),
     ("gpl", "general public", r"(?:GNU\s+)?General\s+Public\s+licen[cs]e", "GPL", r"gnu\.org/licenses/gpl"),
-    ("lgpl-2.1", "lesser general", r"(?:GNU\s+)?(?:Lesser|Library)\s+General\s+Public\s+licen[cs]e,?\s+(?:version|v)\.?\s*2(?:\.[01])?\b", "LGPL-2.[01](?:-only|-or-later|\\+)?", r"gnu\.org/licenses/(?:old-licenses/)?lgpl-2"),
+    ("lgpl-2.1", "general public", r"(?:GNU\s+)?(?:Lesser|Library)\s+General\s+Public\s+licen[cs]e,?\s+(?:version|v)\.?\s*2(?:\.[01])?\b", "LGPL-2.[01](?:-only|-or-later|\\+)?", r"gnu\.org/licenses/(?:old-licenses/)?lgpl-2"),
     ("lgpl-3.0", "lesser general", r"(?:GNU\s+)?Lesser\s+General\s+Public\s+licen[cs]e,?\s+(?:version|v)\.?\s*3(?:\.0)?\b", "LGPL-3.0(?:-only|-or-later|\\+)?", r"gnu\.org/licenses/lgpl-3"),
     ("lgpl", "lesser general", r"(?:GNU\s+)?Lesser\s+General\s+Public\s+licen[cs]e", "LGPL", r"gnu\.org/licenses/lgpl"),
     ("agpl-3.0", "affero", r"(?:GNU\s+)?Affero\s+General\s+Public\s+licen[cs]e(?:,?\s+(?:version|v)\.?\s*3(?:\.0)?)?", "AGPL-3.0(?:-only|-or-later|\\+)?", r"gnu\.org/licenses/agpl"),
-    ("gfdl", "documentation license", r"(?:GNU\s+)?Free\s+Documentation\s+licen[cs]e", "GFDL-1.[123](?:-only|-or-later)?", r"gnu\.org/licenses/fdl"),
+    ("gfdl", "documentation licen", r"(?:GNU\s+)?Free\s+Documentation\s+licen[cs]e", "GFDL-1.[123](?:-only|-or-later)?", r"gnu\.org/licenses/fdl"),
     ("bsd-2-clause", "bsd", r"(?:2-clause|two[ -]clause|simplified|FreeBSD)\s+BSD(?:\s+licen[cs]e)?|BSD\s+2-clause(?:\s+licen[cs]e)?", "BSD-2-Clause", r"opensource\.org/licenses?/bsd-2-clause"),
     ("bsd-3-clause", "bsd", r"(?:3-clause|three[ -]clause|new|modified|revised)\s+BSD(?:\s+licen[cs]e)?|BSD\s+3-clause(?:\s+licen[cs]e)?", "BSD-3-Clause", r"opensource\.org/licenses?/bsd-3-clause"),
     ("bsd-4-clause", "bsd", r"(?:4-clause|four[ -]clause|original|old)\s+BSD(?:\s+licen[cs]e)?|BSD\s+4-clause(?:\s+licen[cs]e)?", "BSD-4-Clause", r"spdx\.org/licenses/BSD-4"),
@@ -63,7 +63,8 @@ LICENSES = [
     ("bsl-1.0", "boost", r"Boost\s+Software\s+licen[cs]e", "BSL-1.0", r"boost\.org/LICENSE"),
     ("busl-1.1", "business source", r"Business\s+Source\s+licen[cs]e", "BUSL-1.1", r"mariadb\.com/bsl"),
     ("unlicense", "unlicense", r"The\s+Unlicense|Unlicense", "Unlicense", r"unlicense\.org"),
-    ("wtfpl", "wtfpl", r"Do\s+What\s+The\s+F\w*\s+You\s+Want\s+To\s+Public\s+licen[cs]e|WTFPL", "WTFPL", r"wtfpl\.net"),
+    ("wtfpl", "public licen", r"Do\s+What\s+The\s+F\w*\s+You\s+Want\s+To\s+Public\s+licen[cs]e", "WTFPL", r"wtfpl\.net"),
+    ("wtfpl", "wtfpl", r"WTFPL", "WTFPL", r"wtfpl\.net"),
     ("zlib", "zlib", r"zlib(?:/libpng)?\s+licen[cs]e", "Zlib", r"opensource\.org/licenses?/zlib"),
     ("libpng", "libpng", r"libpng\s+licen[cs]e", "Libpng", r"libpng\.org/pub/png/src/libpng-LICENSE"),
     ("openssl", "openssl", r"OpenSSL\s+licen[cs]e", "OpenSSL", r"openssl\.org/source/license"),

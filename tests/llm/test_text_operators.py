@@ -194,6 +194,47 @@ def test_every_rule_passes_the_gate():
         assert kw == kw.lower()
 
 
+def samples(parsed):
+    """Strings that a parsed pattern matches: every branch, with and without what is optional."""
+    out = [""]
+    for op, arg in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            each = [chr(arg)]
+        elif name == "IN":
+            each = [chr(v) if str(o) == "LITERAL" else {"CATEGORY_SPACE": " ", "CATEGORY_DIGIT": "2", "CATEGORY_WORD": "x"}[str(v)] if str(o) == "CATEGORY" else chr(v[0]) for o, v in arg]
+        elif name == "ANY":
+            each = ["x"]
+        elif name == "BRANCH":
+            each = [x for branch in arg[1] for x in samples(branch)]
+        elif name == "SUBPATTERN":
+            each = samples(arg[3])
+        elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+            each = [x * n for n in sorted({arg[0], max(1, arg[0])}) for x in samples(arg[2])]
+        else:
+            assert name in ("AT", "ASSERT", "ASSERT_NOT"), name
+            each = [""]
+        out = [a + b for a in out for b in dict.fromkeys(each)]
+    return out
+
+
+def test_every_alternative_passes_the_gate_and_its_keyword():
+    parser = re._parser
+    for r in license_scan.rules():
+        own = r["re"].replace(license_scan.GRANTED, "licensed\\s+under\\s+")
+        for text in samples(parser.parse(own)):
+            assert re.search(r["re"], text), (r, text)
+            low = text.lower()
+            assert any(g in low for g in license_scan.GATE) and r["kw"] in re.sub(r"[\s-]+", " ", low), (r, text)
+
+
+def test_rules_with_several_names(spark):
+    texts = {1: "GNU Library General Public License version 2", 2: "Do What The Fuck You Want To Public License", 3: "GNU Free Documentation Licence", 4: "under WTFPL"}
+    got = rows_of(license_scan.scan(spark.createDataFrame(list(texts.items()), "doc_id long, text string")))
+    assert {i: got[i]["labels"] for i in texts} == {1: "gpl,lgpl-2.1", 2: "wtfpl", 3: "gfdl", 4: "wtfpl"}
+    assert [h["label"] for h in got[1]["hits"]] == ["lgpl-2.1"]
+
+
 def test_rules(spark):
     texts = {
         1: "// SPDX-License-Identifier: Apache-2.0\n", 2: "Licensed under the Apache License, Version 2.0.", 3: "released under the terms of the GNU General Public License, version 3 or later", 4: "See https://opensource.org/licenses/MIT for details",
