@@ -3,8 +3,14 @@
 Each language gets a zstandard dictionary of raw text from its own learning rows. A document is
 folded (lower case, everything but letters to one space), cut into blocks, and every block of the
 whole text is compressed with each language's dictionary. The language with the smallest total
-wins; the frequency of the languages in the learning rows breaks ties. A document whose two
-smallest totals differ by less than ``min_margin`` bytes is rejected, as is one without letters.
+wins. Sizes are whole bytes, so short texts can tie; ties are broken by a finer search (matches
+of three bytes) over all tails of the text that begin with a word, then by the frequency of the languages in the learning rows.
+
+A document is rejected if its two smallest totals differ by a smaller share of the smallest than
+``least``, or not at all, as is one without letters. Learning sets ``least``: every eighth of the chosen rows
+is kept out of the dictionaries, and so are texts of random letters, in the frequencies of these
+rows, as long as the rows are. The share lies midway (as a factor) between what nearly all of the
+random texts stay below and what nearly all of the rows reach.
 
 Learning reads a bounded, documented sample: for each language at most ``docs_per_language``
 documents, chosen by a hash of their id, ``excerpt`` characters of each, ``dictionary_bytes`` in
@@ -17,6 +23,8 @@ passed on; ones named lang_pred, score, margin or rejected are replaced.
 
 from __future__ import annotations
 
+import math
+import random
 import re
 from collections.abc import Iterator
 
@@ -28,6 +36,10 @@ from .common import crc_mod, table, tidy
 
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 LEVEL, BLOCK = 9, 2048
+#: One in so many of the rows chosen for learning is kept to find the least margin; at least so many letters.
+KEPT_OUT, LEAST_BYTES = 8, 200
+#: The least margin where learning rows say nothing about it.
+USUAL = 0.04
 OUT = "lang_pred string, score double, margin int, rejected boolean"
 
 
@@ -36,7 +48,28 @@ def folded(text: str) -> bytes:
     return f" {words} ".encode("utf-8", "replace") if words else b""
 
 
-def learn(docs: DataFrame, learn_rows: Column, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_language: int = 400, excerpt: int = 600, dictionary_bytes: int = 110_000) -> list[tuple[str, bytes]]:
+class Dictionaries(list):
+    """(language, dictionary) pairs, and the least margin, as a share of the compressed size."""
+
+    least = USUAL
+
+
+def least_margin(dictionaries: list[tuple[str, bytes]], rows: list[bytes]) -> float:
+    """The share of the compressed size that parts margins of folded rows from those of random letters."""
+    rows = [r for r in rows if len(r) >= LEAST_BYTES]
+    if len(dictionaries) < 2 or len(rows) < 20:
+        return USUAL
+    judge, rng = Classifier(dictionaries, 0.0), random.Random(7)
+    texts = [r.decode("utf-8", "replace") for r in rows]
+    letters = "".join(texts).replace(" ", "")
+    noise = [" ".join("".join(rng.choices(letters, k=len(w))) for w in t.split()) for t in texts]
+    share = lambda found: sorted(margin / size for margin, size in (judge.totals(folded(t))[1:] for t in found))
+    clean, random_ones = share(texts), share(noise)
+    low, high = clean[len(clean) // 100], random_ones[-1 - len(random_ones) // 100]
+    return math.sqrt(low * high) if low > high > 0 else min(low, USUAL)
+
+
+def learn(docs: DataFrame, learn_rows: Column, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_language: int = 400, excerpt: int = 600, dictionary_bytes: int = 110_000) -> Dictionaries:
     """(language, dictionary) pairs, most frequent language first."""
     rows = docs.filter(learn_rows & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col), F.lit(7)).alias("h"), F.substring(F.col(text_col), 1, excerpt).alias("part"))
     often = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
@@ -47,39 +80,63 @@ def learn(docs: DataFrame, learn_rows: Column, *, id_col: str = "doc_id", text_c
     picked: dict[str, list[tuple[int, bytes]]] = {}
     for lang, n, part in some.withColumn("n", first).filter(F.col("n") <= docs_per_language).select("lang", "n", "part").collect():
         picked.setdefault(lang, []).append((n, folded(part)))
-    made = {k: b"".join(x for _, x in sorted(v))[:dictionary_bytes] for k, v in picked.items()}
-    return [(k, made[k]) for k in sorted(made, key=lambda k: (-often[k], k)) if made[k]]
+    made = {k: b"".join(x for n, x in sorted(v) if n % KEPT_OUT)[:dictionary_bytes] for k, v in picked.items()}
+    found = Dictionaries((k, made[k]) for k in sorted(made, key=lambda k: (-often[k], k)) if made[k])
+    found.least = least_margin(found, [x for k in sorted(picked) for n, x in sorted(picked[k]) if n % KEPT_OUT == 0])
+    return found
 
 
 class Classifier:
-    def __init__(self, dictionaries: list[tuple[str, bytes]], min_margin: int) -> None:
+    def __init__(self, dictionaries: list[tuple[str, bytes]], least: float) -> None:
         import zstandard as z
 
-        self.names, self.min_margin, self.made = [k for k, _ in dictionaries], min_margin, []
+        self.names, self.least, self.made, self.finer = [k for k, _ in dictionaries], least, [], []
         for _, raw in dictionaries:
             how = z.ZstdCompressionParameters.from_level(LEVEL, source_size=BLOCK, dict_size=len(raw), write_content_size=0, write_checksum=0, write_dict_id=0)
             d = z.ZstdCompressionDict(raw, dict_type=z.DICT_TYPE_RAWCONTENT)
             d.precompute_compress(compression_params=how)
             self.made.append(z.ZstdCompressor(dict_data=d, compression_params=how))
+            how = z.ZstdCompressionParameters.from_level(LEVEL, source_size=BLOCK, dict_size=len(raw), write_content_size=0, write_checksum=0, write_dict_id=0, min_match=3, strategy=z.STRATEGY_BTULTRA2, target_length=256)
+            d = z.ZstdCompressionDict(raw, dict_type=z.DICT_TYPE_RAWCONTENT)
+            d.precompute_compress(compression_params=how)
+            self.finer.append(z.ZstdCompressor(dict_data=d, compression_params=how))
+
+    def sizes(self, data: bytes) -> list[int]:
+        blocks = [data[i : i + BLOCK] for i in range(0, len(data), BLOCK)]
+        return [sum(len(c.compress(x)) for x in blocks) for c in self.made]
+
+    def totals(self, data: bytes) -> tuple[int, float, float]:
+        """(best language, margin to the next, size) of a folded text, in bytes."""
+
+        def ranked(sizes: list[int]) -> tuple[int, int, int]:
+            best = min(range(len(sizes)), key=sizes.__getitem__)
+            return best, min((s for i, s in enumerate(sizes) if i != best), default=sizes[best] + 99) - sizes[best], sizes[best]
+
+        best, margin, size = ranked(self.sizes(data))
+        if margin or len(data) > BLOCK:
+            return best, margin, size
+        tails = [data[i:] for i in range(len(data) - 1) if data[i] == 32]
+        best, finer, whole = ranked([sum(len(c.compress(x)) for x in tails) for c in self.finer])
+        return best, size * finer / whole, size
 
     def __call__(self, text: str | None) -> tuple[str, float, int, bool]:
         data = folded(text or "")
         if not data or not self.made:
             return "und", 0.0, 0, True
-        blocks = [data[i : i + BLOCK] for i in range(0, len(data), BLOCK)]
-        sizes = [sum(len(c.compress(x)) for x in blocks) for c in self.made]
-        best = min(range(len(sizes)), key=sizes.__getitem__)
-        margin = min((s for i, s in enumerate(sizes) if i != best), default=sizes[best] + 99) - sizes[best]
-        return self.names[best], margin / (margin + 4.0 + 0.01 * sizes[best]), margin, margin < self.min_margin
+        best, margin, size = self.totals(data)
+        return self.names[best], margin / (margin + 4.0 + 0.01 * size), int(margin), margin == 0 or margin < self.least * size
 
 
-def identify(docs: DataFrame, dictionaries: list[tuple[str, bytes]], *, text_col: str = "text", min_margin: int = 1) -> DataFrame:
-    """docs with lang_pred, score (0 to 1), margin in bytes and rejected."""
+def identify(docs: DataFrame, dictionaries: list[tuple[str, bytes]], *, text_col: str = "text", least: float | None = None) -> DataFrame:
+    """docs with lang_pred, score (0 to 1), margin in bytes and rejected; least: what learning found,
+    unless given."""
+    share = getattr(dictionaries, "least", USUAL) if least is None else least
+    dictionaries = list(dictionaries)
     new = [x.split()[0] for x in OUT.split(", ")]
     rest = docs.drop(*new)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        judge = Classifier(dictionaries, min_margin)
+        judge = Classifier(dictionaries, share)
         for batch in batches:
             got = [judge(x.as_py()) for x in batch.column(text_col)]
             cols = [pa.array([g[i] for g in got], t) for i, t in enumerate((pa.string(), pa.float64(), pa.int32(), pa.bool_()))]

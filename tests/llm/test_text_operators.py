@@ -89,6 +89,21 @@ def test_languages(spark):
     assert language_id.identify(docs.limit(0), known).count() == 0
 
 
+def test_narrow_margins_are_rejected_by_share(spark):
+    rng = random.Random(9)
+    lexicons = {k: ["".join(rng.choice(v) for _ in range(rng.randint(1, 4))) for _ in range(60)] for k, v in {"aa": ["th", "er", "on"], "bb": ["sch", "ei", "ung"], "cc": ["é", "eau", "que"]}.items()}
+    made = [(k, speech(rng, lexicons[k], 80)) for i in range(300) for k in [("aa", "bb", "cc")[i % 3]]]
+    docs = spark.createDataFrame([(i, t, k) for i, (k, t) in enumerate(made)], "doc_id long, text string, lang string")
+    known = language_id.learn(docs, F.lit(True))
+    assert 0 < known.least < 0.2
+    noise = [(n * 100 + i, " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(n)), "") for n in (100, 500, 2000) for i in range(20)]
+    short = [(i, speech(rng, lexicons[k], 6), k) for i in range(60) for k in [("aa", "bb", "cc")[i % 3]]]
+    odd = spark.createDataFrame(noise, "doc_id long, text string, lang string")
+    assert all(r.rejected for r in language_id.identify(odd, known).collect())
+    got = rows_of(language_id.identify(spark.createDataFrame(short, "doc_id long, text string, lang string"), known))
+    assert all(not r["rejected"] and r["lang_pred"] == r["lang"] for r in got.values())
+
+
 # -- toxicity ---------------------------------------------------------------------------------
 
 
