@@ -15,6 +15,8 @@ from tessera.llm.common import crc_mod, table, written
 
 #: Good prose is wanted this many times as often as it is found; nothing is cut for that.
 BOOST = {"good": 1.2}
+#: Near copies share this percentage of their shingles of so many words. op8's own query has 4 words and 85.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
 def identify_language(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +32,7 @@ def remove_copies(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def remove_near_copies(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the smallest id, of each group that similarity links."""
-    return jaccard_join.one_of_each(docs)
+    return jaccard_join.one_of_each(docs, words=NEAR_WORDS, percent=NEAR_PERCENT)
 
 
 def mix_domains(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

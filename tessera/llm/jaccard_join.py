@@ -1,10 +1,10 @@
 """N-gram Jaccard join by set relations: skip index blocks by position, derive answers from like sets.
 
-A document's set is its distinct 4-word shingles, as 64-bit hashes in sorted order. Two documents
-link when 100 * intersection >= 85 * union; the result is the connected components of the links.
+A document's set is its distinct shingles of ``words`` words (4), as 64-bit hashes in sorted order. Two
+documents link when 100 * intersection >= ``percent`` (85) * union; the result is the connected components of the links.
 
 *Index lists by blocks of positions.* Linked sets of sizes s and t differ in at most 3 (s + t) / 37
-elements. Sets of about one size are cut, by hash value, into more blocks than that (a few more, see
+elements (at 85 percent). Sets of about one size are cut, by hash value, into more blocks than that (a few more, see
 below), so linked sets agree on a whole block. A block's content is the key of an index list: lists
 of all blocks in which two sets differ are skipped without a look at their members. Sizes fall
 into classes a factor of 100/85 apart; a set uses the cut of its own class and of the class below.
@@ -55,31 +55,31 @@ RECUTS = 1
 BROADCAST_IDS = 1_000_000
 
 
-def most_differences(total: int) -> int:
+def most_differences(total: int, percent: int = PERCENT) -> int:
     """Elements in which linked sets can differ, given the sum of their sizes."""
-    return total - 2 * -(-PERCENT * total // (100 + PERCENT))
+    return total - 2 * -(-percent * total // (100 + percent))
 
 
-def enough(overlap: np.ndarray, total: np.ndarray) -> np.ndarray:
-    return 100 * overlap >= PERCENT * (total - overlap)
+def enough(overlap: np.ndarray, total: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    return 100 * overlap >= percent * (total - overlap)
 
 
-def size_classes(largest: int) -> list[int]:
+def size_classes(largest: int, percent: int = PERCENT) -> list[int]:
     """The largest size of each class, up to the class that holds `largest`. Partners of a set lie
     in its own class or in a next one."""
     ends = [1]
     while ends[-1] < largest:
-        ends.append((ends[-1] + 1) * 100 // PERCENT)
+        ends.append((ends[-1] + 1) * 100 // percent)
     return ends
 
 
-def blocks_for(end: int) -> tuple[int, int]:
+def blocks_for(end: int, percent: int = PERCENT) -> tuple[int, int]:
     """(blocks, spare ones) for pairs whose smaller set has at most `end` elements. There are as
     many spare blocks as the smallest set of the class leaves empty, and four deviations more."""
-    total = end + end * 100 // PERCENT
-    least = max(map(most_differences, range(max(2, total - 2 * (100 + PERCENT)), total + 1))) + 1
+    total = end + end * 100 // percent
+    least = max(most_differences(t, percent) for t in range(max(2, total - 2 * (100 + percent)), total + 1)) + 1
     for spare in range(2, least + 3):
-        empty = (least + spare) * math.exp(-(PERCENT / 100) * end / (least + spare))
+        empty = (least + spare) * math.exp(-(percent / 100) * end / (least + spare))
         if spare >= empty + 4 * math.sqrt(empty) + 2:
             break
     return least + spare, spare
@@ -88,13 +88,13 @@ def blocks_for(end: int) -> tuple[int, int]:
 class Cuts:
     """(class, blocks, spare blocks) for the cuts that a set of n elements uses."""
 
-    def __init__(self) -> None:
-        self.ends, self.blocks = [1], [blocks_for(1)]
+    def __init__(self, percent: int = PERCENT) -> None:
+        self.percent, self.ends, self.blocks = percent, [1], [blocks_for(1, percent)]
 
     def __call__(self, n: int) -> list[tuple[int, int, int]]:
         if self.ends[-1] < n:
-            self.ends = size_classes(n)
-            self.blocks += [blocks_for(e) for e in self.ends[len(self.blocks) :]]
+            self.ends = size_classes(n, self.percent)
+            self.blocks += [blocks_for(e, self.percent) for e in self.ends[len(self.blocks) :]]
         k = bisect.bisect_left(self.ends, n)
         return [(c, *self.blocks[c]) for c in (k, k - 1) if c >= 0]
 
@@ -118,7 +118,7 @@ def keys(s: np.ndarray, common: np.ndarray, cuts: Cuts, seed: int = 0) -> np.nda
         content = sums[at[full + 1]] - sums[at[full]]
         out.append(mix(content + mix(full.astype(U) * FACTORS[0] + U(k + 1) * FACTORS[1])))
     if crowded:
-        prefix = np.concatenate([own, s[usual]])[: len(s) - -(-PERCENT * len(s) // 100) + 1]
+        prefix = np.concatenate([own, s[usual]])[: len(s) - -(-cuts.percent * len(s) // 100) + 1]
         out += [mix(prefix + U(k + 1) * FACTORS[2]) for k, _, _ in cuts(len(s))]
     return np.concatenate(out)
 
@@ -126,11 +126,11 @@ def keys(s: np.ndarray, common: np.ndarray, cuts: Cuts, seed: int = 0) -> np.nda
 # -- the index --------------------------------------------------------------------------------
 
 
-def sets_of(docs: DataFrame) -> DataFrame:
+def sets_of(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """(id, n, node) of (id, text): the size of its set and what stands for it, null if empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make = Hasher(WORDS)
+        make = Hasher(words)
         for batch in batches:
             got = [(len(s), fingerprint(s) if len(s) else None) for s in make(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64())], ["id", "n", "node"])
@@ -165,13 +165,13 @@ def chained(ks: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return ks[new], nodes[new], edges[0], edges[1]
 
 
-def candidate_edges(docs: DataFrame, common: np.ndarray, buckets: int, seed: int = 0) -> DataFrame:
+def candidate_edges(docs: DataFrame, common: np.ndarray, buckets: int, seed: int = 0, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(a, b) of sets: chains of the members of every index list. With a column comp, lists hold
     members of one component only."""
     apart = "comp" in docs.columns
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make, cuts = Hasher(WORDS), Cuts()
+        make, cuts = Hasher(words), Cuts(percent)
         for batch in batches:
             seen, ks, nodes = set(), [], []
             comps = mix(batch.column("comp").to_numpy().view(U)) if apart else None
@@ -222,13 +222,13 @@ def grouped(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[dict[s
         yield held
 
 
-def common_shingles(docs: DataFrame, sample: int, least: int, most: int = 1 << 17) -> np.ndarray:
+def common_shingles(docs: DataFrame, sample: int, least: int, most: int = 1 << 17, words: int = WORDS) -> np.ndarray:
     """Shingles of at least `least` of about `sample` documents, the `most` commonest, sorted."""
     every = max(1, -(-docs.count() // sample))
     some = docs.filter(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(every)) == 0)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make = Hasher(WORDS)
+        make = Hasher(words)
         for batch in batches:
             if sets := [s for s in make(batch.column("text")) if len(s)]:
                 k, n = np.unique(np.concatenate(sets), return_counts=True)
@@ -248,7 +248,7 @@ def common_shingles(docs: DataFrame, sample: int, least: int, most: int = 1 << 1
 # -- verification -----------------------------------------------------------------------------
 
 
-def search(sets: list[np.ndarray]) -> np.ndarray:
+def search(sets: list[np.ndarray], percent: int = PERCENT) -> np.ndarray:
     """For each set, the first one that it is connected to by links."""
     m = len(sets)
     sizes = np.array([len(s) for s in sets])
@@ -271,24 +271,24 @@ def search(sets: list[np.ndarray]) -> np.ndarray:
         queue: list[tuple[int, np.ndarray | None]] = [(seed, None)]
         while queue and left.any():
             x, most = queue.pop()
-            if most is not None and not enough(np.minimum(most[left], np.minimum(sizes[left], sizes[x])), sizes[left] + sizes[x]).any():
+            if most is not None and not enough(np.minimum(most[left], np.minimum(sizes[left], sizes[x])), sizes[left] + sizes[x], percent).any():
                 continue  # the answers of the set it came from decide
             o = overlaps(x)
-            linked = np.flatnonzero(left & enough(o, sizes + sizes[x]))
+            linked = np.flatnonzero(left & enough(o, sizes + sizes[x], percent))
             left[linked], root[linked] = False, seed
             queue += [(y, o + (sizes[y] - o[y])) for y in linked.tolist()]
     return root
 
 
-def resolved(members: DataFrame, by: list[str]) -> DataFrame:
+def resolved(members: DataFrame, by: list[str], words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(a, b): every set and one that it is connected to, in each group of rows (by..., node, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make = Hasher(WORDS)
+        make = Hasher(words)
         for rows in grouped(batches, by):
             texts = dict(zip(rows["node"], rows["text"], strict=True))
             nodes = np.array(sorted(texts), np.int64)
-            root = search(list(make(pa.array([texts[n] for n in nodes.tolist()], pa.string()))))
+            root = search(list(make(pa.array([texts[n] for n in nodes.tolist()], pa.string()))), percent)
             moved = np.flatnonzero(root != np.arange(len(root)))
             yield pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(nodes[root[moved]])], ["a", "b"])
 
@@ -296,11 +296,11 @@ def resolved(members: DataFrame, by: list[str]) -> DataFrame:
     return spread.mapInArrow(tidy(run), "a long, b long")
 
 
-def checked(texts: DataFrame) -> DataFrame:
+def checked(texts: DataFrame, words: int = WORDS) -> DataFrame:
     """(node, text) without rows whose text has another set, as rows that share an id may."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make = Hasher(WORDS)
+        make = Hasher(words)
         for batch in batches:
             want = batch.column("node").to_pylist()
             ok = [i for i, s in enumerate(make(batch.column("text"))) if len(s) and fingerprint(s) == want[i]]
@@ -309,7 +309,7 @@ def checked(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(tidy(run), "node long, text string")
 
 
-def large_links(members: DataFrame) -> DataFrame:
+def large_links(members: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(a, b) for candidate components too large for one task; members: (comp, node, n, text)."""
     ranked = members.select("comp", F.struct(F.xxhash64("node", F.lit(5)).alias("h"), "node").alias("x"))
     of_all = F.pmod(F.col("x.h"), F.lit(16 * PIVOTS)) == 0
@@ -318,7 +318,7 @@ def large_links(members: DataFrame) -> DataFrame:
     pivots = members.select("node", "text").join(written(chosen, "jaccard-pivots"), "node").groupBy("comp").agg(F.collect_list("node").alias("pivots"), F.collect_list("text").alias("texts"))  # at most PIVOTS + 1
 
     def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make, known = Hasher(WORDS), {}
+        make, known = Hasher(words), {}
         for batch in batches:
             a, b = [], []
             comps, nodes, pivots, texts = (batch.column(c) for c in ("comp", "node", "pivots", "texts"))
@@ -327,7 +327,7 @@ def large_links(members: DataFrame) -> DataFrame:
                 if comp not in known:
                     known = {comp: list(zip(pivots[i].as_py(), make(pa.array(texts[i].as_py(), pa.string())), strict=True))}
                 for pivot, y in known[comp]:
-                    if node != pivot and min(len(x), len(y)) * 100 >= PERCENT * max(len(x), len(y)) and enough(np.intersect1d(x, y, assume_unique=True).size, len(x) + len(y)):
+                    if node != pivot and min(len(x), len(y)) * 100 >= percent * max(len(x), len(y)) and enough(np.intersect1d(x, y, assume_unique=True).size, len(x) + len(y), percent):
                         a.append(node)
                         b.append(pivot)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
@@ -344,16 +344,16 @@ def large_links(members: DataFrame) -> DataFrame:
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     block = rows.select("comp", lot(17, "blocks").alias("block"), each("chunks").alias("chunk"), "node", "text")
     chunk = rows.filter("root <> main").select("comp", each("blocks").alias("block"), lot(19, "chunks").alias("chunk"), "node", "text")
-    return links.unionByName(resolved(block.unionByName(chunk), ["comp", "block", "chunk"]))
+    return links.unionByName(resolved(block.unionByName(chunk), ["comp", "block", "chunk"], words, percent))
 
 
-def links_of(docs: DataFrame, firsts: DataFrame, edges: DataFrame, common: np.ndarray, block: int) -> DataFrame:
+def links_of(docs: DataFrame, firsts: DataFrame, edges: DataFrame, common: np.ndarray, block: int, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(a, b) of sets, enough links for the components, from the candidate edges."""
     sized = lambda found: found.join(firsts, "node").select("node", "n", F.col("first").alias("id"), F.col("root").alias("comp"))
     comps = written(sized(connected(edges, "jaccard-candidates")), "jaccard-comps-0")
     small = comps.count() <= BROADCAST_IDS  # with another way beyond
     near = lambda df, other, on: df.join(F.broadcast(other) if small else other, on)
-    members = written(checked(near(docs, comps.select("id", "node"), "id").select("node", "text")), "jaccard-members", compression="zstd")
+    members = written(checked(near(docs, comps.select("id", "node"), "id").select("node", "text"), words), "jaccard-members", compression="zstd")
     sizes = lambda: comps.groupBy("comp").agg(F.sum("n").alias("size"))
     for seed in range(1, 1 + RECUTS):
         large = sizes().filter(F.col("size") > block).select("comp")
@@ -363,31 +363,31 @@ def links_of(docs: DataFrame, firsts: DataFrame, edges: DataFrame, common: np.nd
             break
         # chance may have brought them together: cut in another way, linked sets meet again
         inside = written(inside, f"jaccard-large-{seed}")
-        again = written(candidate_edges(near(members, inside.select("node", "comp"), "node"), common, 1 << max(6, (held[0] // 1000).bit_length()), seed), f"jaccard-edges-{seed}")
+        again = written(candidate_edges(near(members, inside.select("node", "comp"), "node"), common, 1 << max(6, (held[0] // 1000).bit_length()), seed, words, percent), f"jaccard-edges-{seed}")
         outside = comps.join(large, "comp", "left_anti").select(*comps.columns)
         comps = written(outside if again.isEmpty() else outside.unionByName(sized(connected(again, f"jaccard-candidates-{seed}")).select(*comps.columns)), f"jaccard-comps-{seed}")
     sized_comps = written(comps.join(sizes(), "comp"), "jaccard-sized")
     fit = near(members, sized_comps.filter(F.col("size") <= block).select("node", "comp"), "node")
-    links = resolved(fit, ["comp"])
+    links = resolved(fit, ["comp"], words, percent)
     beyond = sized_comps.filter(F.col("size") > block).select("node", "comp", "n")
     if not beyond.isEmpty():
-        links = links.unionByName(large_links(near(members, beyond, "node")))
+        links = links.unionByName(large_links(near(members, beyond, "node"), words, percent))
     return links
 
 
-def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample: int = 8_000, least: int = 6, block: int = BLOCK) -> DataFrame:
+def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample: int = 8_000, least: int = 6, block: int = BLOCK, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(id, n_shingles, component_id, set_id), one row for each row of docs; equal set_id: equal sets."""
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sets = written(sets_of(docs), "jaccard-sets")
+    sets = written(sets_of(docs, words), "jaccard-sets")
     live = docs.filter("id IS NOT NULL AND text IS NOT NULL")
-    common = common_shingles(live, sample, least)
+    common = common_shingles(live, sample, least, words=words)
     buckets = 1 << max(6, (sets.count() // 1000).bit_length())
-    edges = written(candidate_edges(live, common, buckets), "jaccard-edges")
+    edges = written(candidate_edges(live, common, buckets, words=words, percent=percent), "jaccard-edges")
     firsts = sets.filter("node IS NOT NULL AND id IS NOT NULL").groupBy("node").agg(F.min("id").alias("first"), F.min("n").alias("n"))
     if edges.isEmpty():
         names = firsts.select("node", F.col("first").alias("component_id"))
     else:
-        links = written(links_of(live, firsts, edges, common, block), "jaccard-links")
+        links = written(links_of(live, firsts, edges, common, block, words, percent), "jaccard-links")
         roots = connected(links, "jaccard-components") if not links.isEmpty() else None
         rooted = firsts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")) if roots else firsts.withColumn("root", F.col("node"))
         names = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("node", "component_id")
@@ -395,9 +395,9 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     return out.select("id", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"), F.col("node").alias("set_id"))
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The rows of docs whose id is the smallest of its component, with docs' own columns."""
-    found = written(jaccard_components(docs, id_col=id_col, text_col=text_col), "jaccard-result")
+    found = written(jaccard_components(docs, id_col=id_col, text_col=text_col, words=words, percent=percent), "jaccard-result")
     dropped = found.filter("component_id <> id").select("id").distinct()
     mine = F.col(f"docs.{id_col}").cast("long")
     few = dropped.count() <= BROADCAST_IDS

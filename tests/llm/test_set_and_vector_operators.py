@@ -66,6 +66,38 @@ def test_join_like_brute_force(spark, monkeypatch, seed, block, unit):
     assert got == brute_components(rows)
 
 
+def test_pipeline_drops_near_copies_at_five_words_and_eighty_percent(spark):
+    import corpus_pipeline
+
+    base = [f"w{i}" for i in range(1000)]
+    long = base + [f"x{i}" for i in range(200)]  # 0.833
+    longer = base + [f"y{i}" for i in range(300)]  # 0.769
+    docs = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(long)), (3, " ".join(longer)), (4, None)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.remove_near_copies(spark, docs, SF).collect()) == [1, 3, 4]
+    assert sorted(r.doc_id for r in jaccard_join.one_of_each(docs).collect()) == [1, 2, 3, 4]
+
+
+@pytest.mark.parametrize(("percent", "block"), [(80, 1_000_000), (80, 50)])
+def test_join_of_five_words_like_brute_force(spark, percent, block):
+    rows = near_copies(5)[:-1]
+    sets = {i: (lambda w: frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else []))(re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))) for i, t in rows}
+    up = {i: i for i in sets}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                x, y = sorted((root(a), root(b)))
+                up[y] = x
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(df, words=5, percent=percent, block=block).collect()}
+    assert got == {i: (len(s), root(i)) for i, s in sets.items()}
+
+
 def test_join_edges(spark):
     schema = "doc_id long, text string, id int"
     assert jaccard_join.jaccard_components(spark.createDataFrame([], schema)).count() == 0
