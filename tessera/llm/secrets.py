@@ -2,7 +2,8 @@
 
 Three patterns give the *base* spans: assignments to a sensitive name, access key ids, and runs of
 hexadecimal digits. The method then reads the text as source or configuration: around every ``=``
-and ``:`` it lexes a name on the left and a literal, a name or a sum of those on the right. Literals
+and ``:`` it lexes a name on the left and a literal, a name or a sum of those on the right; in
+``name: type = literal`` the name before the type gets the literal. Literals
 become constants by name; a sensitive name assigned from other names (``password = base + tail``)
 gets the constants they hold at that point. Each literal that reaches a name is scored by how
 sensitive the name is and how random the literal looks, and literals that score high enough become
@@ -35,13 +36,14 @@ KINDS = ("assign", "access", "hex", "literal")
 
 #: How sensitive a part of a name is.
 WEIGHTS = {"password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 0.9, "secret": 1.0, "token": 0.9, "apikey": 1.0, "credential": 0.8, "credentials": 0.8, "private": 0.6, "auth": 0.5, "bearer": 0.8, "signature": 0.4, "salt": 0.4, "key": 0.6, "access": 0.3, "api": 0.3, "cert": 0.3, "dsn": 0.5, "connection": 0.3}
-NAME = re.compile(r"""["']?([A-Za-z_][\w.-]{0,63})["']?\]?\x20*:?$""")
-VALUE = re.compile(r"""\x20*(?:[rbuf]{0,2}"([^"\n]*)"|[rbuf]{0,2}'([^'\n]*)'|([A-Za-z_][\w.]*)|([^\s"',;(){}\[\]+]+))""")
-PLUS = re.compile(r"\x20*[+.]?\+?\x20*(?=[\"'A-Za-z_])")
+VALUE = re.compile(r"""[\x20\t]*(?:[rbuf]{0,2}"([^"\n]*)"|[rbuf]{0,2}'([^'\n]*)'|([A-Za-z_][\w.]*)|([^\s"',;(){}\[\]+]+))""")
+PLUS = re.compile(r"[\x20\t]*[+.]?\+?[\x20\t]*(?=[\"'A-Za-z_])")
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 THRESHOLD = 1.2
-#: Around an operator, no more than this of a line is lexed for a name; the value has no such limit.
-BEFORE = 80
+BLANK = " \t"
+#: Pieces of a type: a path, a word, a lifetime, a sign before or between types, brackets, other pieces inside them.
+TYPE = re.compile(r"""[\x20\t]*+(?:(::)|([A-Za-z_][\w.]*+)|('\w++(?!'))|([&*?!|]++)|([<\[(])|([>\])])|(=(?![=>]))|([,;\d]++|"[^"\n]*+"|'[^'\n]*+'))""")
+MODIFIERS = {"const", "mut", "static", "readonly", "dyn", "final", "volatile", "unsigned"}
 
 
 class Span(NamedTuple):
@@ -82,6 +84,51 @@ class Literal(NamedTuple):
     end: int
 
 
+def name_before(text: str, op: int) -> str | None:
+    """The name that ends before an operator, however long it is and however far away on its line."""
+    end = op
+    if end and text[end - 1] == "\n":
+        end -= 1
+    if end and text[end - 1] == ":":
+        end -= 1
+    while end and text[end - 1] in BLANK:
+        end -= 1
+    if end and text[end - 1] == "]":
+        end -= 1
+    if end and text[end - 1] in "\"'":
+        end -= 1
+    start = end
+    while start and (text[start - 1].isalnum() or text[start - 1] in "_.-"):
+        start -= 1
+    while start < end and not (text[start] == "_" or (text[start].isascii() and text[start].isalpha())):
+        start += 1
+    return text[start:end] or None
+
+
+def after_type(text: str, at: int) -> int:
+    """Where the value of `name: type = value` begins, given the end of the colon; -1 if there is none."""
+    depth, word, apart = 0, False, True
+    while m := TYPE.match(text, at):
+        at = m.end()
+        if m[1] or m[4]:
+            apart = True
+        elif m[2]:
+            if not depth and not apart:
+                return -1  # prose: two words
+            word, apart = True, m[2] in MODIFIERS
+        elif m[5]:
+            depth += 1
+        elif m[6]:
+            depth -= 1
+            if depth < 0:
+                return -1
+        elif m[7]:
+            return at if word and not depth else -1
+        elif m[8] and not depth:
+            return -1
+    return -1
+
+
 def assignments(text: str) -> Iterator[tuple[str, list[Literal]]]:
     """(name, literals that reach it), in order; names on the right stand for their constants."""
     constants: dict[str, list[Literal]] = {}
@@ -93,10 +140,12 @@ def assignments(text: str) -> Iterator[tuple[str, list[Literal]]]:
         op, at = at, at + 1
         while at < end and text[at] in "=:>":
             at += 1
-        left = NAME.search(text[max(0, op - BEFORE) : op])
-        if not left or at - op > 2:
+        if at - op > 2 or not (left := name_before(text, op)):
             continue
         reached, pos = [], at
+        typed = after_type(text, at) if text[op:at] == ":" else -1
+        if typed >= 0 and (m := VALUE.match(text, typed)) and (m[1] is not None or m[2] is not None or m[3] in constants):
+            pos = typed
         while m := VALUE.match(text, pos):
             pos = m.end()
             g = next(i for i in range(1, 5) if m[i] is not None)
@@ -109,8 +158,8 @@ def assignments(text: str) -> Iterator[tuple[str, list[Literal]]]:
                 break
             pos = plus.end()
         if reached:
-            constants[left[1]] = reached
-            yield left[1], reached
+            constants[left] = reached
+            yield left, reached
 
 
 def literal_spans(text: str) -> list[Span]:

@@ -182,6 +182,17 @@ def test_assignments_are_lexed():
     assert literals("x == y and password") == []
 
 
+def test_tabs_long_gaps_and_types_are_lexed():
+    assert literals('password\t=\t"Zx81kQpL0"') == ["Zx81kQpL0"]
+    assert literals("password" + " " * 500 + '= "Zx81kQpL0"') == ["Zx81kQpL0"]
+    assert literals("password_" + "of_a_long_name_" * 20 + 'x = "Zx81kQpL0"') == ["Zx81kQpL0"]
+    for typed in ('password: str = "Zx81kQpL0"', 'let db_password: &str = "Zx81kQpL0"', 'const apiSecret: string = "Zx81kQpL0"', "const TOKEN: &'static str\t= \"Zx81kQpL0\"", 'token: Optional[Dict[str, str]] | None = "Zx81kQpL0"', 'secret: std::string = "Zx81kQpL0"'):
+        assert literals(typed) == ["Zx81kQpL0"], typed
+    assert literals('base: str = "Qw3rTy99Lk"\nauth_token: str = base\t+\t"tAil77xQ"')[-1:] == ["tAil77xQ"]
+    assert literals('def f(password: str, label="Zz81kQpL0")') == []
+    assert literals('token: see label = "Zz81kQpL0"') == []
+
+
 # -- licenses ---------------------------------------------------------------------------------
 
 
