@@ -1,26 +1,34 @@
 """Byte-level BPE encoding and decoding by recursive queries in an embedded DuckDB per partition.
 
 A text is cut by the tokenizer's pattern. Words that are not yet known to the task go to DuckDB as
-rows (word, position, id of a byte). A recursive query joins neighbouring positions with the merge
-table and contracts, in every word at once, the leftmost pair of the smallest rank, until no word
+rows (piece, position, id of a byte). A recursive query joins neighbouring positions with the merge
+table and contracts, in every piece at once, the leftmost pair of the smallest rank, until no piece
 has a pair left. In order of positions these are the words' ids; an ordered aggregation of their
 tokens, looked up in the vocabulary, decodes them. A text's ids and decoded bytes are its words' in order.
 
+*Pieces.* No token holds two neighbouring bytes that no token of the vocabulary holds, so a word is
+cut there and its pieces contract on their own; nearly all are a few bytes, also those of long words.
+
+*State.* A round passes on the pieces that still have a pair; a piece without one leaves, marked
+done, and only such rows are kept, so memory is that of one state, whatever the number of rounds. In
+pieces of more than LONG bytes (repeated signs, mostly) a round contracts every leftmost pair of the
+smallest rank in a row, up to the first that makes a pair of a smaller rank: what single steps
+would do, in rounds that grow with the different ranks and not with the length.
+
 The merge table has every pair of tokens whose bytes together are a token, with its rank. A word that
-is a token stands for itself, as the tiktoken library has it. Words of more than LONG bytes, each of
-which would need as many rounds as it has merges, are contracted by the same rule with a heap.
+is a token stands for itself, as the tiktoken library has it.
 
 Vocabulary and merges are broadcast: they are as large as the vocabulary file, not as the data. A
-task works on about GROUP characters of text at a time and forgets its words beyond CACHE, so its
-memory does not grow with a partition; one text at a time is held whole. A null text counts as
-empty: no ids, no bytes. Rows are independent; columns of docs are passed on, and their own columns
-named ids or decoded are replaced.
+task works on about GROUP characters of text at a time, hands DuckDB words of CHUNK bytes at a time
+(a longer word alone) and forgets its words beyond CACHE, so its memory does not grow with a
+partition; one text at a time is held whole. DuckDB has no folder to spill to. A null text counts as
+empty: no ids, no bytes. Rows are independent, so repeated rows get equal answers; an empty table
+gives an empty one. Columns of docs are passed on, and their own columns named ids or decoded are replaced.
 """
 
 from __future__ import annotations
 
 import base64
-import heapq
 from collections.abc import Iterable, Iterator
 from pathlib import Path
 
@@ -32,32 +40,62 @@ from pyspark.sql import functions as F
 
 from .common import table, tidy
 
-GROUP, CACHE, LONG, CHUNK = 1_500_000, 250_000, 400, 20_000
+GROUP, CACHE, LONG, CHUNK = 1_500_000, 250_000, 512, 400_000
 
-#: State: a row for each token of a word, with its position and the next token's position and id.
+#: State: a row for each token of a piece, with its position and the next token's position and id.
 CONTRACT = """
-CREATE OR REPLACE TEMP TABLE contracted AS
-WITH RECURSIVE bpe(step, word, pos, id, next_pos, next_id) AS (
-  SELECT 0, word, pos, id, next_pos, next_id FROM parts
+WITH RECURSIVE bpe(done, piece, pos, id, next_pos, next_id) AS (
+  SELECT false, piece, pos, id, next_pos, next_id FROM parts
   UNION ALL
   (WITH ranked AS (
-     SELECT b.word, b.next_pos, m.rank::BIGINT * 1048576 + b.pos AS place FROM bpe b JOIN merges m ON b.id = m.a AND b.next_id = m.b
+     SELECT b.piece, b.next_pos, m.rank::BIGINT * 4294967296 + b.pos AS place FROM bpe b JOIN merges m ON b.id = m.a AND b.next_id = m.b WHERE NOT b.done
    ), best AS (
-     SELECT word, min(place) AS place, arg_min(next_pos, place) AS gone FROM ranked GROUP BY word
+     SELECT piece, min(place) AS place, arg_min(next_pos, place) AS gone FROM ranked GROUP BY piece
    ), cut AS (
-     SELECT best.word, place % 1048576 AS spot, (place // 1048576)::INTEGER AS made, gone, g.next_pos AS new_pos, g.next_id AS new_id
-     FROM best JOIN bpe g ON g.word = best.word AND g.pos = best.gone
+     SELECT best.piece, (place % 4294967296)::INTEGER AS spot, (place // 4294967296)::INTEGER AS made, gone, g.next_pos AS new_pos, g.next_id AS new_id
+     FROM best JOIN bpe g ON g.pos = best.gone
    )
-   SELECT b.step + 1, b.word, b.pos,
+   SELECT cut.piece IS NULL, b.piece, b.pos,
      CASE WHEN b.pos = spot THEN made ELSE b.id END,
      CASE WHEN b.pos = spot THEN new_pos ELSE b.next_pos END,
      CASE WHEN b.pos = spot THEN new_id WHEN b.next_pos = spot THEN made ELSE b.next_id END
-   FROM bpe b JOIN cut ON b.word = cut.word WHERE b.pos <> gone)
-), ends AS (SELECT word, max(step) AS step FROM bpe GROUP BY word)
-SELECT b.word, b.pos, b.id FROM bpe b JOIN ends ON b.word = ends.word AND b.step = ends.step
+   FROM bpe b LEFT JOIN cut ON b.piece = cut.piece WHERE NOT b.done AND b.pos IS DISTINCT FROM gone)
+)
+SELECT pos, id FROM bpe WHERE done
 """
-ENCODED = "SELECT word, id FROM contracted ORDER BY word, pos"
-DECODED = "SELECT string_agg(hex, '' ORDER BY word, pos) AS decoded FROM contracted JOIN vocabulary USING (id)"
+#: The same for long pieces. taken: of pairs that overlap, every other one; early: the first pair whose
+#: contraction makes a pair of a smaller rank, with which the round ends.
+CONTRACT_LONG = """
+WITH RECURSIVE bpe(done, piece, pos, id) AS (
+  SELECT false, piece, pos, id FROM parts
+  UNION ALL
+  (WITH near AS (
+     SELECT piece, pos, id, lag(id) OVER w AS id0, lead(id) OVER w AS id1, lead(id, 2) OVER w AS id2, row_number() OVER w AS i
+     FROM bpe WHERE NOT done WINDOW w AS (PARTITION BY piece ORDER BY pos)
+   ), ranked AS (
+     SELECT near.*, m.rank FROM near LEFT JOIN merges m ON near.id = m.a AND near.id1 = m.b
+   ), least AS (
+     SELECT piece, min(rank) AS made FROM ranked GROUP BY piece
+   ), hits AS (
+     SELECT r.*, made, coalesce(rank = made, false) AS hit,
+       i - coalesce(max(CASE WHEN rank = made THEN NULL ELSE i END) OVER (PARTITION BY r.piece ORDER BY i ROWS UNBOUNDED PRECEDING), 0) AS run
+     FROM ranked r JOIN least ON r.piece = least.piece
+   ), taken AS (
+     SELECT *, hit AND run % 2 = 1 AS take FROM hits
+   ), beside AS (
+     SELECT *, coalesce(lag(take) OVER w, false) AS gone, CASE WHEN lag(take, 2) OVER w THEN made ELSE id0 END AS left_id
+     FROM taken WINDOW w AS (PARTITION BY piece ORDER BY i)
+   ), early AS (
+     SELECT t.piece, min(t.i) AS stop FROM beside t
+     LEFT JOIN merges l ON l.a = t.left_id AND l.b = t.made LEFT JOIN merges r ON r.a = t.made AND r.b = t.id2
+     WHERE t.take AND (l.rank < t.made OR r.rank < t.made) GROUP BY t.piece
+   )
+   SELECT made IS NULL, b.piece, b.pos, CASE WHEN take AND b.i <= coalesce(stop, b.i) THEN made ELSE id END
+   FROM beside b LEFT JOIN early ON b.piece = early.piece WHERE NOT (gone AND b.i - 1 <= coalesce(stop, b.i)))
+)
+SELECT pos, id FROM bpe WHERE done
+"""
+DECODED = "SELECT string_agg(hex, '' ORDER BY pos) AS decoded FROM contracted JOIN vocabulary USING (id)"
 
 
 def ranks_of(path: str) -> dict[bytes, int]:
@@ -71,33 +109,6 @@ def merges_of(ranks: dict[bytes, int]) -> np.ndarray:
     return np.array(found, np.int32).reshape(-1, 3).T
 
 
-def contract_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The same contractions, leftmost smallest rank first, in order of a heap."""
-    n = len(word)
-    after, before, ends = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
-    alive = [True] * n
-
-    def pair(i: int) -> tuple[int, int, int] | None:
-        j = after[i]
-        k = ranks.get(word[i : ends[j]]) if j < n else None
-        return None if k is None else (k, i, ends[j])
-
-    heap = [p for i in range(n - 1) if (p := pair(i))]
-    heapq.heapify(heap)
-    while heap:
-        k, i, end = heapq.heappop(heap)
-        j = after[i]
-        if not alive[i] or j >= n or ends[j] != end or ranks.get(word[i:end]) != k:
-            continue
-        alive[j], ends[i], after[i] = False, end, after[j]
-        if after[j] < n:
-            before[after[j]] = i
-        for x in (before[i], i):
-            if x >= 0 and (p := pair(x)):
-                heapq.heappush(heap, p)
-    return [ranks[word[i : ends[i]]] for i in range(n) if alive[i]]
-
-
 class Encoder:
     """Words to ids and back, with a DuckDB of its own."""
 
@@ -110,9 +121,13 @@ class Encoder:
         self.tokens = {k: t for t, k in ranks.items()}
         self.sizes = np.zeros(max(self.tokens, default=0) + 1, np.int64)
         self.sizes[list(self.tokens)] = [len(t) for t in self.tokens.values()]
+        self.touch = np.zeros((256, 256), bool)  # bytes that stand together in some token
+        for t in ranks:
+            b = np.frombuffer(t, np.uint8)
+            self.touch[b[:-1], b[1:]] = True
         self.known: dict[str, bytes] = {}  # ids as 32-bit numbers
         self.decoded: dict[str, bytes] = {}  # and what they decode to
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "256MB"})
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "256MB", "temp_directory": ""})
         for name, cols in (("merges", dict(zip(("a", "b", "rank"), merges, strict=True))), ("vocabulary", {"id": np.array(list(self.tokens), np.int32), "hex": [t.hex() for t in self.tokens.values()]})):
             self.db.register("given", pa.table(cols))
             self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
@@ -120,34 +135,46 @@ class Encoder:
 
     def learn(self, words: Iterable[str]) -> None:
         todo: list[tuple[str, bytes]] = []
+        size = 0
         for w in words:
             raw = w.encode("utf-8", "replace")
             if (k := self.ranks.get(raw)) is not None:
                 self.known[w], self.decoded[w] = k.to_bytes(4, "little"), self.tokens[k]
-            elif len(raw) > LONG:
-                ids = contract_long(raw, self.ranks)
-                self.known[w], self.decoded[w] = np.array(ids, "<i4").tobytes(), b"".join(map(self.tokens.__getitem__, ids))
-            else:
-                todo.append((w, raw))
-        for at in range(0, len(todo), CHUNK):
-            self._contract(todo[at : at + CHUNK])
+                continue
+            if todo and size + len(raw) > CHUNK:
+                self._contract(todo)
+                todo, size = [], 0
+            todo.append((w, raw))
+            size += len(raw)
+        if todo:
+            self._contract(todo)
 
     def _contract(self, todo: list[tuple[str, bytes]]) -> None:
-        n = np.array([len(raw) for _, raw in todo])
-        ids = self.byte[np.frombuffer(b"".join(raw for _, raw in todo), np.uint8)]
-        ends = np.cumsum(n)
-        pos = (np.arange(len(ids)) - np.repeat(ends - n, n)).astype(np.int32)
-        after, next_id = pos + 1, np.append(ids[1:], -1)
-        after[ends - 1] = next_id[ends - 1] = -1
-        self.db.register("parts", pa.table({"word": np.repeat(np.arange(len(todo), dtype=np.int32), n), "pos": pos, "id": ids, "next_pos": after, "next_id": next_id.astype(np.int32)}))
-        self.db.execute(CONTRACT).fetchall()
-        self.db.unregister("parts")
-        got = self.db.execute(ENCODED).fetchnumpy()
+        data = np.frombuffer(b"".join(raw for _, raw in todo), np.uint8)
+        ids, pos = self.byte[data], np.arange(len(data), dtype=np.int32)
+        ends = np.cumsum([len(raw) for _, raw in todo])
+        first = np.append(True, ~self.touch[data[:-1], data[1:]])
+        first[ends[:-1]] = True
+        last = np.append(first[1:], True)
+        piece = np.cumsum(first, dtype=np.int32) - np.int32(1)
+        size = np.bincount(piece)[piece]
+        after, next_id = np.where(last, -1, pos + 1).astype(np.int32), np.where(last, -1, np.append(ids[1:], -1)).astype(np.int32)
+        made = [(pos[size == 1], ids[size == 1])]
+        for those, query in (((size > 1) & (size <= LONG), CONTRACT), (size > LONG, CONTRACT_LONG)):
+            if those.any():
+                self.db.register("parts", pa.table({"piece": piece[those], "pos": pos[those], "id": ids[those], "next_pos": after[those], "next_id": next_id[those]}))
+                got = self.db.execute(query).fetchnumpy()
+                self.db.unregister("parts")
+                made.append((np.asarray(got["pos"]), np.asarray(got["id"])))
+        at, token = (np.concatenate(x) for x in zip(*made, strict=True))
+        order = np.argsort(at)
+        at, token = at[order], token[order].astype("<i4")
+        self.db.register("contracted", pa.table({"pos": at, "id": token}))
         decoded = bytes.fromhex(self.db.execute(DECODED).fetchall()[0][0])
-        made = np.asarray(got["id"]).astype("<i4")
-        to = np.searchsorted(np.asarray(got["word"]), np.arange(len(todo) + 1))
-        size = np.concatenate([[0], np.cumsum(self.sizes[made])])[to].tolist()
-        raw, to = made.tobytes(), (4 * to).tolist()
+        self.db.unregister("contracted")
+        to = np.searchsorted(at, np.append(0, ends))
+        size = np.concatenate([[0], np.cumsum(self.sizes[token])])[to].tolist()
+        raw, to = token.tobytes(), (4 * to).tolist()
         for i, (w, _) in enumerate(todo):
             self.known[w], self.decoded[w] = raw[to[i] : to[i + 1]], decoded[size[i] : size[i + 1]]
 

@@ -260,17 +260,32 @@ def test_encoding_like_the_library(spark, tiktoken_encoding):
     assert bpe.encode_decode(df.limit(0), P.path("byte_bpe_50k.tiktoken"), P.PATTERN).count() == 0
 
 
-def test_long_words_contract_alike(tiktoken_encoding):
+def test_words_contract_like_the_library(tiktoken_encoding, monkeypatch):
     import public_tokenizers as P
 
     ranks = bpe.ranks_of(P.path("byte_bpe_50k.tiktoken"))
+    merges, rng = bpe.merges_of(ranks), random.Random(10)
+    pick = lambda parts, n: "".join(rng.choice(parts) for _ in range(n))
+    words = [pick("abthe", rng.randint(2, 60)) for _ in range(200)] + [pick(["the", "in", "er", "a", "ing"], 300) for _ in range(30)] + [pick("etaoinshr", 700) for _ in range(5)] + ["x" * n for n in range(2, 90)]
+    words += ["x" * 100_000, "the" * 20_000, "aaab" * 300, "=" * 70_000, "漢字" * 900]
+    for long in (bpe.LONG, 1, 10**9):  # by length, every piece in batches, none
+        monkeypatch.setattr(bpe, "LONG", long)
+        e = bpe.Encoder(ranks, merges, P.PATTERN)
+        some = [w for w in words if len(w) < 9_000 or long < 10**9]
+        e.learn(some)
+        assert all(np.frombuffer(e.known[w], "<i4").tolist() == tiktoken_encoding.encode_ordinary(w) and e.decoded[w] == w.encode() for w in some)
+
+
+def test_long_words_fit_in_memory(tiktoken_encoding, tmp_path, monkeypatch):
+    import public_tokenizers as P
+
+    monkeypatch.chdir(tmp_path)
+    ranks, rng = bpe.ranks_of(P.path("byte_bpe_50k.tiktoken")), random.Random(11)
     e = bpe.Encoder(ranks, bpe.merges_of(ranks), P.PATTERN)
-    rng = random.Random(10)
-    words = ["".join(rng.choice("abthe") for _ in range(rng.randint(2, 60))) for _ in range(200)]
+    words = ["".join(rng.choice(["the", "in", "er", "on", "ing", "Q"]) for _ in range(190)) for _ in range(3000)]  # 1.3 MB
     e.learn(words)
-    ids = lambda w: np.frombuffer(e.known[w], '<i4').tolist()
-    assert all(ids(w) == tiktoken_encoding.encode_ordinary(w) for w in words)
-    assert all(bpe.contract_long(w.encode(), ranks) == ids(w) or w.encode() in ranks for w in words)
+    assert all(np.frombuffer(e.known[w], "<i4").tolist() == tiktoken_encoding.encode_ordinary(w) for w in words[::50])
+    assert not list(tmp_path.rglob("*"))  # nothing was spilled
 
 
 # -- the pipeline -----------------------------------------------------------------------------
