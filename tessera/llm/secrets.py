@@ -2,15 +2,23 @@
 
 Three patterns give the *base* spans: assignments to a sensitive name, access key ids, and runs of
 hexadecimal digits. The method then reads the text as source or configuration: around every ``=``
-and ``:`` it lexes a name on the left and a literal, a name or a sum of those on the right; in
-``name: type = literal`` the name before the type gets the literal. Literals
-become constants by name; a sensitive name assigned from other names (``password = base + tail``)
-gets the constants they hold at that point. Each literal that reaches a name is scored by how
-sensitive the name is and how random the literal looks, and literals that score high enough become
-spans of kind ``literal``. Base spans always stay.
+and ``:`` it lexes a name on the left and a value on the right; in ``name: type = value`` the name
+before the type gets the value. A value is a sum of literals and names. Literals are strings in
+single, double, triple or back quotes, whose backslashes escape, bare words, and the indented lines
+after ``name: |``; strings that stand next to each other, also inside brackets and over several lines,
+are one value. A comment between them counts as a blank; a secret in a comment is still a secret.
+
+*Constants.* Each assignment is a node with its literals and references to the nodes that its names
+stood for at that point. How sensitive a literal is, is the most sensitive name that it reaches: a
+single pass over the nodes from last to first hands each node's sensitivity on to what it refers to.
+Time and memory grow with the text, whatever is assigned to what.
+
+Each literal that reaches a name is scored by how sensitive the name is and how random the literal
+looks, and literals that score high enough become spans of kind ``literal``. Base spans always stay.
 
 Offsets are code points, ends exclusive. A null text counts as empty. Rows are independent; repeated
-rows get equal answers. Columns of docs are passed on; columns of the result's names are replaced.
+rows get equal answers and an empty table gives an empty one. Whole texts are read, of any length.
+Columns of docs are passed on; columns of the result's names are replaced.
 """
 
 from __future__ import annotations
@@ -36,10 +44,19 @@ KINDS = ("assign", "access", "hex", "literal")
 
 #: How sensitive a part of a name is.
 WEIGHTS = {"password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 0.9, "secret": 1.0, "token": 0.9, "apikey": 1.0, "credential": 0.8, "credentials": 0.8, "private": 0.6, "auth": 0.5, "bearer": 0.8, "signature": 0.4, "salt": 0.4, "key": 0.6, "access": 0.3, "api": 0.3, "cert": 0.3, "dsn": 0.5, "connection": 0.3}
-VALUE = re.compile(r"""[\x20\t]*(?:[rbuf]{0,2}"([^"\n]*)"|[rbuf]{0,2}'([^'\n]*)'|([A-Za-z_][\w.]*)|([^\s"',;(){}\[\]+]+))""")
-PLUS = re.compile(r"[\x20\t]*[+.]?\+?[\x20\t]*(?=[\"'A-Za-z_])")
+STRING = r"""[rbufRBUF]{0,2}+(?:\"\"\"((?:[^"\\]|\\.|"(?!""))*+)\"\"\"|'''((?:[^'\\]|\\.|'(?!''))*+)'''|"((?:[^"\\\n]|\\.)*+)"|'((?:[^'\\\n]|\\.)*+)'|`((?:[^`\\]|\\.)*+)`)"""
+#: A string, a name, another bare word, and what joins one value to the next.
+TEXT = re.compile(STRING, re.DOTALL)
+NAME = re.compile(r"[A-Za-z_][\w.]*+")
+BARE = re.compile(r"""[^\s"'`,;(){}\[\]+]++""")
+CALL, QUOTED = re.compile(r"\x20*+[(\[]"), re.compile(r"""[rbufRBUF]{0,2}["'`]""")
+JOIN = re.compile(r"\+|\.(?=\s)|\|\|")
+BLANKS, SPACES = re.compile(r"[\x20\t]*+(?:\\\r?\n[\x20\t]*+)?+"), re.compile(r"\s*+")
+#: A block scalar's head and its lines.
+BLOCK_HEAD, LINE = re.compile(r"[\x20\t]*+[|>][+-]?\d?[\x20\t]*+\r?\n"), re.compile(r"([\x20\t]*+)([^\n]*+)(?:\n|$)")
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 THRESHOLD = 1.2
+OPERATOR = re.compile("[=:]")
 BLANK = " \t"
 #: Pieces of a type: a path, a word, a lifetime, a sign before or between types, brackets, other pieces inside them.
 TYPE = re.compile(r"""[\x20\t]*+(?:(::)|([A-Za-z_][\w.]*+)|('\w++(?!'))|([&*?!|]++)|([<\[(])|([>\])])|(=(?![=>]))|([,;\d]++|"[^"\n]*+"|'[^'\n]*+'))""")
@@ -79,11 +96,18 @@ def randomness(value: str) -> float:
 
 
 class Literal(NamedTuple):
-    value: str
     start: int
     end: int
 
 
+class Node(NamedTuple):
+    """An assignment: how sensitive its name is, its own literals, and earlier nodes that its names stood for."""
+
+    sensitivity: float
+    literals: list[Literal]
+    refers: list[int]
+
+
 def name_before(text: str, op: int) -> str | None:
     """The name that ends before an operator, however long it is and however far away on its line."""
     end = op
@@ -129,49 +153,128 @@ def after_type(text: str, at: int) -> int:
     return -1
 
 
-def assignments(text: str) -> Iterator[tuple[str, list[Literal]]]:
-    """(name, literals that reach it), in order; names on the right stand for their constants."""
-    constants: dict[str, list[Literal]] = {}
-    at, end = 0, len(text)
+def one_literal(text: str, at: int) -> tuple[Literal, int] | None:
+    """The string that begins at a place, without its quotes, and where it ends."""
+    if m := TEXT.match(text, at):
+        return Literal(*m.span(m.lastindex)), m.end()
+    return None
+
+
+def block_lines(text: str, at: int, indent: int) -> list[Literal]:
+    """The lines of a block scalar: those further in than its name."""
+    found = []
+    while at < len(text) and (m := LINE.match(text, at)):
+        if m[2].strip() and len(m[1]) <= indent:
+            break
+        if m[2].strip():
+            found.append(Literal(m.start(2), m.start(2) + len(m[2].rstrip())))
+        at = m.end()
+    return found
+
+
+class Gaps:
+    """Steps over blanks and at most one comment. The end of a comment is looked for once for all places before it."""
+
+    def __init__(self, text: str) -> None:
+        self.text, self.since, self.close = text, 0, -2
+
+    def closing(self, at: int) -> int:
+        if self.close == -2 or (self.close >= 0 and not self.since <= at <= self.close):
+            self.since, self.close = at, self.text.find("*/", at)
+        return self.close
+
+    def over(self, at: int, blank: re.Pattern) -> int:
+        at = blank.match(self.text, at).end()
+        if self.text.startswith("/*", at) and (close := self.closing(at + 2)) >= 0:
+            at = blank.match(self.text, close + 2).end()
+        return at
+
+
+def value_at(text: str, at: int, nodes: dict[str, int], gaps: Gaps) -> tuple[list[Literal], list[int]]:
+    """The literals of the value that begins at a place, and the nodes of its names."""
+    literals, refers, wide, inner = [], [], False, at
+    for _ in range(8):  # brackets around
+        inner = gaps.over(inner, SPACES)
+        if text[inner : inner + 1] != "(":
+            break
+        inner += 1
+        if QUOTED.match(text, gaps.over(inner, SPACES)):
+            at, wide = inner, True
+            break
     while True:
-        at = min((i for i in (text.find("=", at), text.find(":", at)) if i >= 0), default=-1)
-        if at < 0:
-            return
-        op, at = at, at + 1
+        at = gaps.over(at, SPACES if wide else BLANKS)
+        if found := one_literal(text, at):
+            literals.append(found[0])
+            at = found[1]
+            after = gaps.over(at, SPACES if wide else BLANKS)
+            if QUOTED.match(text, after):
+                at = after
+                continue
+        elif m := NAME.match(text, at):
+            if CALL.match(text, m.end()):
+                break  # what a function returns
+            if m[0] in nodes:
+                refers.append(nodes[m[0]])
+            else:
+                m = BARE.match(text, at)
+                literals.append(Literal(*m.span()))
+            at = m.end()
+        elif m := BARE.match(text, at):
+            literals.append(Literal(*m.span()))
+            at = m.end()
+        else:
+            break
+        if not (m := JOIN.match(text, gaps.over(at, SPACES if wide else BLANKS))):
+            break
+        at = gaps.over(m.end(), SPACES)
+    return literals, refers
+
+
+def assignments(text: str) -> list[Node]:
+    """All assignments, in order; names on the right stand for their constants."""
+    nodes: list[Node] = []
+    latest: dict[str, int] = {}
+    at, end, gaps = 0, len(text), Gaps(text)
+    while m := OPERATOR.search(text, at):
+        op = m.start()
+        at = op + 1
         while at < end and text[at] in "=:>":
             at += 1
         if at - op > 2 or not (left := name_before(text, op)):
             continue
-        reached, pos = [], at
-        typed = after_type(text, at) if text[op:at] == ":" else -1
-        if typed >= 0 and (m := VALUE.match(text, typed)) and (m[1] is not None or m[2] is not None or m[3] in constants):
-            pos = typed
-        while m := VALUE.match(text, pos):
-            pos = m.end()
-            g = next(i for i in range(1, 5) if m[i] is not None)
-            if g == 3:
-                reached += constants.get(m[3]) or [Literal(m[3], m.start(3), m.end(3))]
-            else:
-                reached.append(Literal(m[g], m.start(g), m.end(g)))
-            plus = PLUS.match(text, pos)
-            if not plus or "+" not in plus[0]:
-                break
-            pos = plus.end()
-        if reached:
-            constants[left] = reached
-            yield left, reached
+        pos, plain = at, text[op:at] == ":"
+        if plain and (typed := after_type(text, at)) >= 0:
+            first = gaps.over(typed, BLANKS)
+            if TEXT.match(text, first) or ((m := NAME.match(text, first)) and m[0] in latest):
+                pos = typed
+        if plain and (m := BLOCK_HEAD.match(text, at)):
+            line = text.rfind("\n", 0, op) + 1
+            literals, refers = block_lines(text, m.end(), len(text[line:op]) - len(text[line:op].lstrip())), []
+        else:
+            literals, refers = value_at(text, pos, latest, gaps)
+        if literals or refers:
+            latest[left] = len(nodes)
+            nodes.append(Node(sensitivity(left), literals, refers))
+    return nodes
 
 
 def literal_spans(text: str) -> list[Span]:
     if "=" not in text and ":" not in text:
         return []
-    best: dict[tuple[int, int], float] = {}
-    for name, literals in assignments(text):
-        if s := sensitivity(name):
-            for x in literals:
-                score = s + randomness(x.value)
-                best[x.start, x.end] = max(best.get((x.start, x.end), 0.0), score if randomness(x.value) > 0.55 else 0.0)
-    return [Span(a, 3, b) for (a, b), score in best.items() if score >= THRESHOLD]
+    nodes = assignments(text)
+    most = [x.sensitivity for x in nodes]
+    for i in range(len(nodes) - 1, -1, -1):  # names refer to earlier nodes only
+        if most[i]:
+            for j in nodes[i].refers:
+                most[j] = max(most[j], most[i])
+    found = set()
+    for s, node in zip(most, nodes, strict=True):
+        if s:
+            for x in node.literals:
+                r = randomness(text[x.start : x.end])
+                if r > 0.55 and s + r >= THRESHOLD:
+                    found.add(Span(x.start, 3, x.end))
+    return sorted(found)
 
 
 def written_out(spans: list[Span]) -> str:

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import pytest
@@ -193,6 +194,51 @@ def test_tabs_long_gaps_and_types_are_lexed():
     assert literals('token: see label = "Zz81kQpL0"') == []
 
 
+def test_strings_comments_and_lines_are_lexed():
+    assert literals('db_password = "Zx81\\"kQpL0"') == ['Zx81\\"kQpL0']
+    assert literals('password = """Zx81kQpL0\nab9Q"""') == ["Zx81kQpL0\nab9Q"]
+    assert literals("password = (\n  'Zx81kQpL0'\n  'Qw3rTy99Lk')") == ["Zx81kQpL0", "Qw3rTy99Lk"]
+    assert literals("password = /* prod */ 'Zx81kQpL0'") == literals("# password = 'Zx81kQpL0'") == literals("/* password = 'Zx81kQpL0' */") == ["Zx81kQpL0"]
+    assert literals("private_key: |\n  Zx81kQpL0aaQ\n  Qw3rTy99Lk\nname: Zx81kQpL0aaQ") == ["Zx81kQpL0aaQ", "Qw3rTy99Lk"]
+    assert literals('password = os.environ["HOME_Zx81k"]') == literals("token = get('Zx81kQpL0')") == []
+    assert literals("password = 'Zx81kQpL0' \\\n + `Qw3rTy99Lk`") == ["Zx81kQpL0", "Qw3rTy99Lk"]
+
+
+def test_constants_like_a_brute_force_interpreter():
+    rng = random.Random(12)
+    for _ in range(200):
+        values, lines, want = {}, [], set()
+        for i in range(30):
+            name = rng.choice(["a", "b", "c", "auth_token", "db_password"])
+            parts = [rng.choice(["a", "b", "c", f'"Zx{rng.randint(10, 99)}kQ{i}pL"', f"'w0{i}Rt{rng.randint(10, 99)}Yq'"]) for _ in range(rng.randint(1, 3))]
+            held = frozenset(x for p in parts for x in (values.get(p, {p} if p[0] in "abc" else {p[1:-1]})))
+            values[name] = held
+            if name in ("auth_token", "db_password"):
+                want |= {x for x in held if len(x) > 1}
+            lines.append(f"{name} = {' + '.join(parts)}")
+        assert set(literals("\n".join(lines))) == want
+
+
+def test_lexing_takes_linear_time():
+    grown = 'x = "Zx81kQpL0"\n' + "x = x + x\n" * 10_000 + "password = x\n"
+    assert literals(grown) == ["Zx81kQpL0"]
+    for unit in ("a: 1\n", "a=", "a = /*", "a = '''", "k: |\n", "a: x<", "a = (((", "a = `", "a = // x\n", "= \""):
+        times = []
+        for n in (20_000, 160_000):
+            start = time.process_time()
+            secrets.literal_spans(unit * n)
+            times.append(time.process_time() - start)
+        assert times[1] < 24 * times[0] + 0.2, unit
+
+
+def test_secret_edges(spark):
+    docs = spark.createDataFrame([(1, 'password = "Zx81kQpL0"', "mine"), (1, 'password = "Zx81kQpL0"', "mine"), (None, None, None)], "doc_id long, text string, spans string")
+    got = secrets.scan(docs)
+    assert got.columns == ["doc_id", "text", "n_assign", "n_access", "n_hex", "base_sha256", "spans"]
+    assert sorted((r.doc_id or 0, r.spans) for r in got.collect()) == [(0, "")] + [(1, "literal:12:21")] * 2
+    assert secrets.scan(docs.limit(0)).count() == 0
+
+
 # -- licenses ---------------------------------------------------------------------------------
 
 
