@@ -143,58 +143,66 @@ def nearest(ids, x, query, k):
     return [(int(ids[i]), s[i]) for i in order if i != query][:k]
 
 
-def test_recall(spark):
-    rng = np.random.default_rng(1)
-    x = rng.normal(size=(1500, 64))
-    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
-    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+def recall_of(spark, ids, x, kind="float", **options):
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], f"vec_id long, embedding array<{kind}>").repartition(3)
     got = {}
-    for r in ann.neighbours(df, F.col("vec_id") % 20 == 0).collect():
+    for r in ann.neighbours(df, F.col("vec_id") % 20 == 0, **options).collect():
         got.setdefault(r.query_id, {})[r.rank] = (r.vec_id, r.score)
-    x, hit = x.astype(float), 0
-    for q in range(0, 1500, 20):
-        assert sorted(got[q]) == list(range(1, 21))
-        assert all(abs(s - x[v] @ x[q]) < 1e-12 for v, s in got[q].values())
-        assert [got[q][r] for r in range(1, 21)] == sorted(got[q].values(), key=lambda t: (-t[1], t[0]))
-        hit += len({v for v, _ in got[q].values()} & {v for v, _ in nearest(np.arange(1500), x, q, 20)})
-    assert hit >= 0.9 * 75 * 20
-
-
-def test_recall_holds_on_large_tables(spark, monkeypatch):
-    """With the registered query's values, in a table that counts as one of six million vectors."""
-    rng = np.random.default_rng(5)
-    x = rng.normal(size=(1500, 64))
-    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
-    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
-    count = F.count
-    monkeypatch.setattr(ann.F, "count", lambda c: count(c) + 6_000_000)
-    found = ann.neighbours(df, F.col("vec_id") % 20 == 0)
-    monkeypatch.undo()
-    got = {}
-    for r in found.collect():
-        got.setdefault(r.query_id, set()).add(r.vec_id)
-    x = x.astype(float)
-    assert sum(len(got.get(q, set()) & {v for v, _ in nearest(np.arange(1500), x, q, 20)}) for q in range(0, 1500, 20)) >= 0.9 * 75 * 20
+    x = (x if kind == "double" else x.astype(np.float32)).astype(float)
+    hit = n = 0
+    for at in np.flatnonzero(ids % 20 == 0):
+        mine, want = got[ids[at]], nearest(ids, x, at, 20)
+        assert sorted(mine) == list(range(1, len(want) + 1))
+        assert [mine[r] for r in sorted(mine)] == sorted(mine.values(), key=lambda t: (-t[1], t[0]))
+        assert all(abs(s - x[np.flatnonzero(ids == v)[0]] @ x[at]) <= 1e-9 * max(1.0, abs(s)) for v, s in mine.values())
+        hit, n = hit + len({v for v, _ in mine.values()} & {v for v, _ in want}), n + len(want)
+    return hit / n
+
+
+def unit_vectors(seed, n):
+    x = np.random.default_rng(seed).normal(size=(n, 64))
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def test_recall_at_production_values(spark):
+    x, rng = unit_vectors(1, 1500), np.random.default_rng(3)
+    ids = np.arange(1500)
+    assert recall_of(spark, ids, x) >= 0.95
+    longer = x.copy()
+    longer[7] *= 100
+    assert recall_of(spark, ids, longer) >= 0.95
+    assert recall_of(spark, ids, x * np.exp(rng.normal(0, 0.5, (1500, 1)))) >= 0.95
+    assert recall_of(spark, ids, x * np.exp(rng.normal(0, 2, (1500, 1))), "double") >= 0.95
+    assert recall_of(spark, ids, x, block=64) >= 0.95
+    assert recall_of(spark, ids[:25], x[:25]) == recall_of(spark, ids[:9], x[:9]) == 1.0
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_recall_on_the_test_table(spark):
+    got = table(spark, SF, "embeddings").select("vec_id", "embedding").collect()
+    assert recall_of(spark, np.array([r[0] for r in got]), np.array([r[1] for r in got])) >= 0.95
 
 
-@pytest.mark.parametrize(("axes", "block"), [(1, 4096), (1, 16), (2, 4096)])
-def test_neighbour_edges(spark, axes, block):
+@pytest.mark.parametrize("block", [4096, 16])
+def test_neighbour_edges(spark, block):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(60, 6)) * rng.choice([0.1, 1, 5], (60, 1))  # uneven norms
     same = [0.5, -0.0, 1.0, 2.0, 0.0, 0.25]
     data = [(i, v.tolist()) for i, v in enumerate(x)] + [(100 + i, same) for i in range(50)]
     bad = [(200, None), (201, [0.0] * 6), (202, [float("nan")] + [1.0] * 5), (203, [float("inf")] + [1.0] * 5), (204, [None] + [1.0] * 5), (205, [1.0] * 3), (None, same), (220, [0.0] * 6), (0, data[0][1])]
-    df = spark.createDataFrame(data + bad, "vec_id long, embedding array<double>").repartition(3)
+    schema = "vec_id long, embedding array<double>, id string, v int, asks string, lot int"  # names that the operator uses itself
+    wide = lambda rows: spark.createDataFrame([(*r, "x", 1, "y", 2) for r in rows], schema)
+    df = wide(data + bad).repartition(3)
     ids, full = np.array([i for i, _ in data]), np.array([v for _, v in data])
     got = {}
-    for r in ann.neighbours(df, F.col("vec_id") % 20 == 0, k=5, axes=axes, tables=30, probes=12, block=block).orderBy("rank").collect():
+    for r in ann.neighbours(df, F.col("vec_id") % 20 == 0, k=5, block=block).orderBy("rank").collect():
         got.setdefault(r.query_id, []).append((r.vec_id, r.score))
     assert set(got) == {0, 20, 40, 100, 120, 140}
     assert [v for v, _ in got[120]] == [v for v, _ in nearest(ids, full, int(np.flatnonzero(ids == 120)[0]), 5)]
     assert sum(len({v for v, _ in got[q]} & {v for v, _ in nearest(ids, full, int(np.flatnonzero(ids == q)[0]), 5)}) for q in got) >= 27
-    few = spark.createDataFrame(data[:3], "vec_id long, embedding array<double>")
-    assert ann.neighbours(few, F.col("vec_id") == 0, tables=40, probes=16).count() == 2
+    assert ann.neighbours(wide(data[:3]), F.col("vec_id") == 0).count() == 2
     assert ann.neighbours(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+    assert ann.neighbours(df, F.col("vec_id") == 10**9).count() == 0
 
 
 # -- mixing -----------------------------------------------------------------------------------
