@@ -38,32 +38,56 @@ def dedup_rows():
     return [(i, rng.choice(texts)) for i in range(300)] + [(-5, "a b"), (2**63 - 1, "ab"), (-(2**63), "é\té"), (2**63 - 2, "q q"), (-(2**63) + 1, "qq")]
 
 
-@pytest.mark.parametrize(("bits", "capacity", "depth"), [(64, 100_000, 16), (64, 4, 5), (3, 2, 4), (1, 1, 2)])
-def test_dedup_like_brute_force(spark, bits, capacity, depth):
+@pytest.mark.parametrize(("bits", "capacity", "hot"), [(64, 1 << 24, 1_000), (64, 500, 5), (3, 500, 1_000), (1, 1, 3), (64, 1, 1_000)])
+def test_dedup_like_brute_force(spark, bits, capacity, hot):
     data = dedup_rows()
     df = spark.createDataFrame(data, "doc_id long, text string").repartition(5)
-    got = rows_of(exact_dedup.exact_dedup(df, hash_bits=bits, capacity=capacity, max_depth=depth))
+    got = rows_of(exact_dedup.exact_dedup(df, hash_bits=bits, capacity=capacity, hot_rows=hot))
     assert {i: (r["keep_id"], r["group_size"], r["kept"], r["text_sha256"]) for i, r in got.items()} == brute_dedup(data)
     chains = {r["text_sha256"]: r["chain"] for r in got.values()}
     assert (max(chains.values()) > 1) == (bits < 6)  # short keys collide, and collisions are chained
+    left = exact_dedup.drop_copies(df, hash_bits=bits, capacity=capacity, hot_rows=hot)
+    assert sorted(r.doc_id for r in left.collect()) == sorted(i for i, x in brute_dedup(data).items() if x[2])
 
 
-def test_dedup_edges(spark):
+def test_dedup_edges(spark, monkeypatch):
     empty = spark.createDataFrame([], "doc_id long, text string")
-    assert exact_dedup.exact_dedup(empty).count() == 0
+    assert exact_dedup.exact_dedup(empty).count() == 0 and exact_dedup.drop_copies(empty).count() == 0
     odd = spark.createDataFrame([(1, "a", 7, "x"), (1, "a", 7, "x"), (None, "a ", 8, "y"), (None, None, 9, "z")], "doc_id long, text string, group_size int, sha string")
     got = exact_dedup.exact_dedup(odd).collect()
     assert sorted((r.doc_id, r.group_size, r.keep_id) for r in got if r.doc_id) == [(1, 3, 1), (1, 3, 1)]
-    assert [r.kept for r in got if r.doc_id is None and r.text is None] == [True]
-    left = exact_dedup.drop_copies(odd)
-    assert left.columns == odd.columns and left.count() == 2
-
-
-def test_directory_doubles_only_where_it_must():
-    depth, leaves = exact_dedup.grow_directory({0: 10, 1: 1, 12: 1}, 5, 4)
-    assert depth == 4 and [(b.prefix, b.depth, b.load) for b in leaves][:2] == [(0, 4, 10), (1, 4, 1)]
-    assert sum(2 ** (4 - b.depth) for b in leaves) == 16 and leaves[-1].depth == 1
-    assert exact_dedup.grow_directory({}, 5, 4) == (0, [exact_dedup.Bucket(0, 0, 0)])
+    assert [r.kept for r in got if r.doc_id is None and r.group_size == 1] == [True]
+    for most in (exact_dedup.BROADCAST_ROWS, 0):  # with and without broadcasts
+        monkeypatch.setattr(exact_dedup, "BROADCAST_ROWS", most)
+        left = exact_dedup.drop_copies(odd)
+        assert left.columns == odd.columns and left.count() == 2
+
+
+def grown(spark, keys, capacity):
+    rows = spark.createDataFrame([(k - (1 << 64) if k >= 1 << 63 else k, 10) for k in keys], "key long, size long")
+    return rows, exact_dedup.grow(rows, capacity, 1 << 16)
+
+
+def test_directory_doubles_only_where_it_must(spark):
+    top = lambda p, bits, *low: [(p << (64 - bits)) + x for x in low]
+    rows, made = grown(spark, [*top(0, 4, 0, 1, 2, 1 << 20), *top(1, 4, 5), *top(12, 4, 9)], 20)
+    assert made.depth == 64 - 1 and sum(2 ** (64 - b.depth) for b in made.buckets) == 2**64  # 0 to 2 part at the last bits
+    assert all(b.load <= 20 for b in made.buckets) and min(b.depth for b in made.buckets) == 1
+    homes = {r.key: r.bucket for r in made.bucket_of(rows).collect()}
+    assert len(homes) == 6 and homes[0] == homes[1] != homes[2]
+    rows, made = grown(spark, [], 20)
+    assert made.depth == 0 and made.buckets == [exact_dedup.Bucket(0, 0, 0, 0)] and made.bucket_of(rows).count() == 0
+    rows, made = grown(spark, [7], 1)
+    assert made.depth == 0 and [r.bucket for r in made.bucket_of(rows).collect()] == [0]  # one key fills no second bucket
+
+
+def test_answers_come_through_the_directory(spark, monkeypatch):
+    df = spark.createDataFrame([(i, f"text {i % 50}") for i in range(200)], "doc_id long, text string")
+    assert exact_dedup.exact_dedup(df, capacity=300).filter("group_size = 4").count() == 200
+    whole = exact_dedup.Directory.bucket_of
+    # a directory that sends the same key to two buckets parts its group
+    monkeypatch.setattr(exact_dedup.Directory, "bucket_of", lambda self, d, key="key": whole(self, d, key).withColumn("bucket", F.col("bucket") * 2 + (F.col("best") % 2 if "best" in d.columns else F.lit(0)).cast("int")))
+    assert exact_dedup.exact_dedup(df, capacity=300).filter("group_size = 4").count() < 200
 
 
 # -- language ID ------------------------------------------------------------------------------
