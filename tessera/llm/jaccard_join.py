@@ -18,16 +18,26 @@ argument intact and their lists short, and come last in prefixes; verification u
 that a list leaves the task with one row, then among tasks. Chains make candidate components, which
 hold every link; equal sets are one member from the start, however many documents have them.
 
-*Derived answers.* Within a candidate component, a search visits sets in turn. When p has been compared
-with all unvisited sets, a set x linked to p need not be: its overlap with y is at most that of p plus
-the elements of x that p lacks. Only pairs that this leaves open are compared, exactly, and only
-sets that are not yet connected. A component of more than BLOCK elements is first cut anew, with another
-order of hashes, which parts sets that met by chance. If it is still as large it is spread: its members are
-compared with a few pivots; those that the largest star leaves over are compared, in chunks, with
+*Search within a candidate component.* Shingles are numbered exactly, by their words, so no hash
+decides a link. Each shingle has a list of the sets that hold it, with their sizes and its positions in
+them, rare shingles first, in blocks that know their least and largest size and their least position. A set goes
+through the lists of its prefix and skips blocks whose sizes are out of reach, and those whose positions leave
+too little of their sets behind for the overlap that a link needs. The overlaps with what is met are
+kept with the set. A set y that links to x derives its answers from those of x: its overlap with z is that of x
+with z, plus the shingles of z that only y has and less those that only x has, which the lists
+of these few shingles give; bounds decide most pairs without them. Only sets that x did not meet are compared anew,
+and only sets that are not yet connected are looked for.
+
+*Large components.* One of more than BLOCK elements is first cut anew, with another order of hashes, which
+parts sets that met by chance. If it is still as large it is spread: its members are
+compared with a few pivots, each in the task where it lies; those that the largest star leaves over are compared, in chunks, with
 all members, in blocks. No pair of different texts that could link is left out.
 
 A null text or one without words has an empty set, n_shingles 0, and links with nothing; a null
-id gets a null component_id and links with nothing. Rows that share an id share their component.
+id gets a null component_id and links with nothing. Rows that share an id are documents of their own, each
+with the component of its text. Texts of any length are read whole; repeated rows are equal sets. Only the id
+and the text are read, so other columns may have any names; an empty table gives an empty one. n_shingles
+counts 64-bit hashes, and sets count as equal by 64 bits over all of these.
 """
 
 from __future__ import annotations
@@ -43,11 +53,11 @@ from pyspark.sql import functions as F
 
 from .common import shuffle_partitions, table, tidy, written
 from .components import connected
-from .shingles import FACTORS, Hasher, U, fingerprint, mix
+from .shingles import FACTORS, Hasher, U, exact, fingerprint, mix
 
 WORDS, PERCENT = 4, 85
-#: Elements of sets that one task compares with each other.
-BLOCK = 1_000_000
+#: Elements of sets that one task compares with each other, and postings in a block of a list.
+BLOCK, LIST_BLOCK = 1 << 15, 32
 PIVOTS = 8
 #: Times that a candidate component of more than BLOCK elements is cut anew, before it is spread.
 RECUTS = 1
@@ -178,7 +188,8 @@ def candidate_edges(docs: DataFrame, common: np.ndarray, buckets: int, seed: int
             for i, s in enumerate(make(batch.column("text"))):
                 if len(s) and (node := fingerprint(s)) not in seen:
                     seen.add(node)
-                    k = keys(s, common, cuts, seed)
+                    with np.errstate(over="ignore"):
+                        k = keys(s, common, cuts, seed)
                     ks.append(mix(k ^ comps[i]) if apart else k)
                     nodes.append(np.full(len(k), node, np.int64))
             if ks:
@@ -248,47 +259,128 @@ def common_shingles(docs: DataFrame, sample: int, least: int, most: int = 1 << 1
 # -- verification -----------------------------------------------------------------------------
 
 
+class Lists:
+    """Index lists of a few sets, in blocks of sizes and positions. sets: sorted numbers of shingles."""
+
+    def __init__(self, sets: list[np.ndarray], percent: int) -> None:
+        self.m, self.percent = len(sets), percent
+        self.sizes = np.array([len(s) for s in sets])
+        names, ids, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        rank = np.empty(len(names), np.int64)
+        rank[np.argsort(often, kind="stable")] = np.arange(len(names))  # rare ones first
+        owner = np.repeat(np.arange(self.m), self.sizes)
+        order = np.lexsort((rank[ids.reshape(-1)], owner))
+        self.ids = rank[ids.reshape(-1)][order]  # the elements of each set in that order
+        self.starts = np.concatenate([[0], np.cumsum(self.sizes)])
+        position = np.arange(len(self.ids)) - np.repeat(self.starts[:-1], self.sizes)
+        order = np.lexsort((position, self.sizes[owner], self.ids))
+        self.owner, self.position = owner[order], position[order]
+        listed = self.ids[order]
+        self.first = np.searchsorted(listed, np.arange(len(names) + 1))
+        at = np.arange(len(listed)) - self.first[listed]
+        self.block = np.flatnonzero(at % LIST_BLOCK == 0)  # where blocks begin
+        self.block_end = np.append(self.block[1:], len(listed))
+        self.block_of = np.searchsorted(self.block, self.first)  # each list's first block
+        self.least = self.sizes[self.owner[self.block]]
+        self.most = self.sizes[self.owner[self.block_end - 1]]
+        self.front = np.minimum.reduceat(self.position, self.block) if len(self.block) else self.block
+
+    def of(self, x: int) -> np.ndarray:
+        return self.ids[self.starts[x] : self.starts[x + 1]]
+
+    def needed(self, n: int, sizes: np.ndarray) -> np.ndarray:
+        """The overlap that a link between a set of n elements and one of some size takes."""
+        return -(-self.percent * (n + sizes) // (100 + self.percent))
+
+    @staticmethod
+    def spread(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All numbers from starts to ends, and which range each is of."""
+        n = end - start
+        which = np.repeat(np.arange(len(n)), n)
+        return start[which] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n), which
+
+    def met(self, x: int, left: np.ndarray) -> np.ndarray:
+        """Sets of `left` that could link to x, by the blocks of the lists of its prefix."""
+        n = self.sizes[x]
+        low, high = -(-self.percent * n // 100), 100 * n // self.percent
+        prefix = self.of(x)[: n - int(self.needed(n, np.array(low))) + 1]
+        blocks, i = self.spread(self.block_of[prefix], self.block_of[prefix + 1])
+        close = (self.most[blocks] >= low) & (self.least[blocks] <= high)
+        # a first common element at place i of x and j of y leaves 1 + min(n - i, size - j) - 1 at most
+        close &= self.most[blocks] - self.front[blocks] >= self.needed(n, np.maximum(self.least[blocks], low))
+        blocks, i = blocks[close], i[close]
+        postings, which = self.spread(self.block[blocks], self.block_end[blocks])
+        y, j, i = self.owner[postings], self.position[postings], i[which]
+        fits = left[y] & (np.minimum(n - i, self.sizes[y] - j) >= self.needed(n, self.sizes[y]))
+        return np.unique(y[fits])
+
+    def overlaps(self, x: int, others: np.ndarray) -> np.ndarray:
+        """Counted in the other sets themselves."""
+        if not len(others):
+            return np.zeros(0, np.int64)
+        mine = np.zeros(len(self.first) - 1, bool)
+        mine[self.of(x)] = True
+        at, which = self.spread(self.starts[others], self.starts[others + 1])
+        return np.bincount(which, mine[self.ids[at]], minlength=len(others)).astype(np.int64)
+
+    def held(self, elements: np.ndarray) -> np.ndarray:
+        """How many of the elements each set has, from their lists."""
+        at, _ = self.spread(self.first[elements], self.first[elements + 1])
+        return np.bincount(self.owner[at], minlength=self.m)
+
+    def apart(self, y: int, x: int) -> tuple[np.ndarray, np.ndarray]:
+        """What y has and x lacks, and the other way round."""
+        a, b = self.of(y), self.of(x)
+        return np.setdiff1d(a, b, assume_unique=True), np.setdiff1d(b, a, assume_unique=True)
+
+
 def search(sets: list[np.ndarray], percent: int = PERCENT) -> np.ndarray:
     """For each set, the first one that it is connected to by links."""
-    m = len(sets)
-    sizes = np.array([len(s) for s in sets])
-    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
-    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    owners = np.repeat(np.arange(m), sizes)[np.argsort(ids, kind="stable")]
-    first = np.concatenate([[0], np.cumsum(np.bincount(ids))])
-    root, left = np.arange(m), np.ones(m, bool)
-
-    def overlaps(x: int) -> np.ndarray:
-        own = ids[starts[x] : starts[x] + sizes[x]]
-        n = first[own + 1] - first[own]
-        at = np.repeat(first[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        return np.bincount(owners[at], minlength=m)
-
-    for seed in range(m):
+    lists = Lists(sets, percent)
+    root, left = np.arange(lists.m), np.ones(lists.m, bool)
+    for seed in range(lists.m):
         if not left[seed]:
             continue
         left[seed] = False
-        queue: list[tuple[int, np.ndarray | None]] = [(seed, None)]
+        #: A set, the one it was linked from, and what that one met, with exact overlaps.
+        queue: list[tuple[int, int, np.ndarray, np.ndarray]] = [(seed, seed, np.zeros(0, np.int64), np.zeros(0, np.int64))]
         while queue and left.any():
-            x, most = queue.pop()
-            if most is not None and not enough(np.minimum(most[left], np.minimum(sizes[left], sizes[x])), sizes[left] + sizes[x], percent).any():
-                continue  # the answers of the set it came from decide
-            o = overlaps(x)
-            linked = np.flatnonzero(left & enough(o, sizes + sizes[x], percent))
-            left[linked], root[linked] = False, seed
-            queue += [(y, o + (sizes[y] - o[y])) for y in linked.tolist()]
+            y, x, known, overlap = queue.pop()
+            still = left[known]
+            known, overlap = known[still], overlap[still]
+            gained, lost = lists.apart(y, x)
+            needed = lists.needed(lists.sizes[y], lists.sizes[known])
+            linked = overlap - len(lost) >= needed  # what the bounds decide
+            if (~linked & (overlap + len(gained) >= needed)).any():
+                overlap = overlap + (lists.held(gained) - lists.held(lost))[known]
+                linked, gained = overlap >= needed, None
+            new = np.setdiff1d(lists.met(y, left), known, assume_unique=True)
+            fresh = lists.overlaps(y, new)
+            answers = np.concatenate([known[linked], new[fresh >= lists.needed(lists.sizes[y], lists.sizes[new])]])
+            left[answers], root[answers] = False, seed
+            rest = left[known]
+            if len(answers) and rest.any() and gained is not None:  # exact before they are passed on
+                overlap = overlap + (lists.held(gained) - lists.held(lost))[known]
+            stay = left[new]
+            kept, counted = np.concatenate([known[rest], new[stay]]), np.concatenate([overlap[rest], fresh[stay]])
+            queue += [(int(z), y, kept, counted) for z in answers]
     return root
 
 
+def overlap_of(a: str, b: str, words: int) -> tuple[int, int]:
+    """(overlap, sum of sizes) of two texts' sets, by their words."""
+    x, y = exact([a, b], words)
+    return np.intersect1d(x, y, assume_unique=True).size, len(x) + len(y)
+
+
 def resolved(members: DataFrame, by: list[str], words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(a, b): every set and one that it is connected to, in each group of rows (by..., node, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make = Hasher(words)
         for rows in grouped(batches, by):
             texts = dict(zip(rows["node"], rows["text"], strict=True))
             nodes = np.array(sorted(texts), np.int64)
-            root = search(list(make(pa.array([texts[n] for n in nodes.tolist()], pa.string()))), percent)
+            root = search(exact([texts[n] for n in nodes.tolist()], words), percent)
             moved = np.flatnonzero(root != np.arange(len(root)))
             yield pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(nodes[root[moved]])], ["a", "b"])
 
@@ -321,13 +413,14 @@ def large_links(members: DataFrame, words: int = WORDS, percent: int = PERCENT)
         make, known = Hasher(words), {}
         for batch in batches:
             a, b = [], []
-            comps, nodes, pivots, texts = (batch.column(c) for c in ("comp", "node", "pivots", "texts"))
-            for i, x in enumerate(make(batch.column("text"))):
+            comps, nodes, pivots, texts, own = (batch.column(c) for c in ("comp", "node", "pivots", "texts", "text"))
+            for i, x in enumerate(make(own)):
                 comp, node = comps[i].as_py(), nodes[i].as_py()
                 if comp not in known:
-                    known = {comp: list(zip(pivots[i].as_py(), make(pa.array(texts[i].as_py(), pa.string())), strict=True))}
-                for pivot, y in known[comp]:
-                    if node != pivot and min(len(x), len(y)) * 100 >= percent * max(len(x), len(y)) and enough(np.intersect1d(x, y, assume_unique=True).size, len(x) + len(y), percent):
+                    theirs = texts[i].as_py()
+                    known = {comp: list(zip(pivots[i].as_py(), make(pa.array(theirs, pa.string())), theirs, strict=True))}
+                for pivot, y, its in known[comp]:
+                    if node != pivot and min(len(x), len(y)) * 100 >= percent * max(len(x), len(y)) and enough(np.intersect1d(x, y, assume_unique=True).size, len(x) + len(y), percent) and enough(*overlap_of(own[i].as_py(), its, words), percent):
                         a.append(node)
                         b.append(pivot)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
@@ -397,11 +490,29 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The rows of docs whose id is the smallest of its component, with docs' own columns."""
+    names = {c: f"__{i}" for i, c in enumerate(docs.columns)}  # so that no name of docs is in the way
+    mine = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items()))
+    me, text = F.col(names[id_col]).cast("long"), names[text_col]
     found = written(jaccard_components(docs, id_col=id_col, text_col=text_col, words=words, percent=percent), "jaccard-result")
-    dropped = found.filter("component_id <> id").select("id").distinct()
-    mine = F.col(f"docs.{id_col}").cast("long")
-    few = dropped.count() <= BROADCAST_IDS
-    return docs.alias("docs").join((F.broadcast(dropped) if few else dropped).alias("gone"), mine == F.col("gone.id"), "left_anti")
+    goes = F.coalesce(F.col("component_id") != F.col("id"), F.lit(False))
+    by_id = written(found.groupBy("id").agg(F.max(goes).alias("some"), F.min(goes).alias("every")).filter("some"), "jaccard-dropped")
+    few = by_id.count() <= BROADCAST_IDS
+    near = lambda df: F.broadcast(df) if few else df
+    left = mine.join(near(by_id.select(F.col("id").alias("gone"))), me == F.col("gone"), "left_anti")
+    mixed = by_id.filter(~F.col("every")).select(F.col("id").alias("gone"))
+    if not mixed.isEmpty():  # ids of several rows, some of which go: these are told apart by their sets
+
+        def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            make = Hasher(words)
+            for batch in batches:
+                nodes = [fingerprint(x) if len(x) else 0 for x in make(batch.column(text))]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nodes, pa.int64())], [*batch.schema.names, "node"])
+
+        some = mine.join(near(mixed), me == F.col("gone"), "left_semi")
+        some = some.mapInArrow(tidy(marked), ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in some.schema), "node long"]))
+        dropped = found.filter(goes).select(F.col("id").alias("gone"), F.col("set_id").alias("gone_set")).distinct()
+        left = left.unionByName(some.join(dropped, (me == F.col("gone")) & (F.col("node") == F.col("gone_set")), "left_anti").drop("node"))
+    return left.select(*(F.col(n).alias(c) for c, n in names.items()))
 
 
 def op8_jaccard_join(spark, sf_dir: str) -> DataFrame:

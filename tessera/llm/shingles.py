@@ -1,19 +1,23 @@
-"""Word shingles of whole texts as sorted 64-bit hashes, many texts at a time with numpy."""
+"""Word shingles of whole texts, as sorted 64-bit hashes and, among a few texts, as exact numbers.
+
+Words are the pieces between ASCII white space, with A to Z in lower case. A word's hash is 64 bits of
+BLAKE2b, so that no two words can be made to collide short of trying some 2 ** 32 of them, and a
+shingle's hash mixes those of its words. Numbers that stand for shingles exactly are dealt out among
+the texts that are compared (`exact`)."""
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 
 U = np.uint64
-BASE = U(0x9E3779B97F4A7C15)
-INVERSE = U(pow(0x9E3779B97F4A7C15, -1, 2**64))
 FACTORS = [U(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
-#: Texts are worked on together up to this many bytes; a longer text is worked on alone.
-TOGETHER = 1 << 20
+#: Words whose hashes a task keeps.
+CACHE = 200_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -22,60 +26,65 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
+def words_of(text: str | None) -> list[bytes]:
+    """bytes.lower and bytes.split know ASCII only, as they should."""
+    return (text or "").encode("utf-8", "replace").lower().split()
+
+
+class Known(dict):
+    """Words to hashes, worked out when they are first asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        found = self[word] = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
+        return found
+
+
 class Hasher:
     def __init__(self, words: int = 4) -> None:
-        self.words = words
-        self.powers = self.inverses = np.ones(1, U)
-
-    def _grow(self, n: int) -> None:
-        if len(self.powers) < n:
-            n = max(n, TOGETHER + 1)
-            step = lambda base: np.concatenate([np.ones(1, U), np.cumprod(np.full(n - 1, base, U), dtype=U)])
-            self.powers, self.inverses = step(BASE), step(INVERSE)
-
-    def _some(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
-        """data: bytes of texts; offsets: where each begins, and the end."""
-        self._grow(len(data) + 1)
-        low = np.where((data >= 65) & (data <= 90), data + 32, data)
-        inside = ~((data == 32) | ((data >= 9) & (data <= 13)))
-        breaks = np.zeros(len(data) + 1, bool)
-        breaks[offsets] = True
-        begins = np.flatnonzero(inside & (np.concatenate([[True], ~inside[:-1]]) | breaks[:-1])) if len(data) else np.zeros(0, int)
-        ends = np.flatnonzero(inside & (np.concatenate([~inside[1:], [True]]) | breaks[1:])) + 1 if len(data) else begins
-        total = np.concatenate([np.zeros(1, U), np.cumsum((low.astype(U) + U(1)) * self.powers[: len(data)], dtype=U)])
-        word = mix((total[ends] - total[begins]) * self.inverses[begins] + (ends - begins).astype(U) * FACTORS[0])
-        first = np.searchsorted(begins, offsets)  # the first word of each text
+        self.words, self.known = words, Known()
+
+    def one(self, text: str | None) -> np.ndarray:
+        """The sorted distinct shingle hashes of a text; none for a null or a text without words."""
+        split = words_of(text)
+        if not split:
+            return np.zeros(0, U)
+        if len(self.known) > CACHE:
+            self.known.clear()
+        word = np.frombuffer(array("Q", map(self.known.__getitem__, split)), U)
         n = self.words
-        whole = np.zeros(max(0, len(word) - n + 1), U)
-        for i in range(n):
-            whole += word[i : i + len(whole)] * FACTORS[i % 4] * U(2 * i + 1)
-        whole = mix(whole)
-        for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-            if b - a >= n:
-                yield np.unique(whole[a : b - n + 1])
-            elif b > a:  # the whole sequence as one
-                few = U(b - a)
-                for x in word[a:b]:
+        with np.errstate(over="ignore"):
+            if len(word) < n:  # the whole sequence as one
+                few = U(len(word))
+                for x in word:
                     few = mix(np.array([few * FACTORS[1] + x], U))[0]
-                yield np.array([few], U)
-            else:
-                yield np.zeros(0, U)
+                return np.array([few], U)
+            whole = np.zeros(len(word) - n + 1, U)
+            for i in range(n):
+                whole += word[i : i + len(whole)] * (FACTORS[i % 4] * U(2 * i + 1))
+            return np.unique(mix(whole))
 
     def __call__(self, column: pa.Array) -> Iterator[np.ndarray]:
-        """Sorted distinct shingle hashes of each text; none for a null or a text without words."""
-        column = pc.fill_null(column, "").cast(pa.large_binary())
-        offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
-        data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
-        at = 0
-        while at < len(column):
-            to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + TOGETHER, side="right")) - 1)
-            to = min(to, len(column))
-            with np.errstate(over="ignore"):
-                yield from self._some(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at])
-            at = to
+        return (self.one(x.as_py()) for x in column)
 
 
 def fingerprint(s: np.ndarray) -> int:
     """64 bits that stand for a set, as a signed integer."""
     with np.errstate(over="ignore"):
         return int(mix(np.array([mix(s + U(1)).sum(dtype=U) + U(len(s)) * FACTORS[2]], U)).view(np.int64)[0])
+
+
+def exact(texts: list[str], words: int = 4) -> list[np.ndarray]:
+    """Sets of shingles as sorted numbers, equal where the words are, among these texts."""
+    number: dict[bytes, int] = {}
+    split = [words_of(t) for t in texts]
+    at = np.concatenate([[0], np.cumsum([len(x) for x in split])])
+    cur = np.fromiter((number.setdefault(w, len(number)) for x in split for w in x), np.int64, int(at[-1]))
+    have = 1
+    while have < words and len(cur):  # numbers of runs of `have` words, from those of shorter runs
+        more = min(have, words - have)
+        pairs = cur[: max(0, len(cur) - more)] * (cur.max() + 1) + cur[more:]
+        cur, have = np.unique(pairs, return_inverse=True)[1].reshape(-1), have + more
+    top, out = len(cur), []
+    for i, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)):
+        out.append(np.unique(cur[a : b - words + 1]) if b - a >= words else np.array([top + i][: b - a], np.int64))
+    return out

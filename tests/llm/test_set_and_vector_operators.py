@@ -109,12 +109,60 @@ def test_join_edges(spark):
 
 
 def test_cuts_have_a_block_to_spare():
-    for n in range(1, 3000):
+    make = jaccard_join.Cuts()
+    make(80_000)
+    cuts = [None, *({c: (b, s) for c, b, s in make(n)} for n in range(1, 71_000))]
+    for n in [*range(1, 400), *range(400, 3000, 23), *range(3000, 60_000, 997)]:
         for t in range(n, n * 100 // 85 + 1, max(1, n // 40)):
-            shared = {c: (b, s) for c, b, s in jaccard_join.Cuts()(n)}.items() & {c: (b, s) for c, b, s in jaccard_join.Cuts()(t)}.items()
-            assert any(b - s > jaccard_join.most_differences(n + t) for _, (b, s) in shared), (n, t)
-        if n > 400:
-            break
+            assert any(b - s > jaccard_join.most_differences(n + t) for _, (b, s) in cuts[n].items() & cuts[t].items()), (n, t)
+
+
+def test_search_like_brute_force():
+    rng = np.random.default_rng(4)
+    for trial in range(60):
+        percent = int(rng.choice([60, 80, 85, 95]))
+        base = [rng.choice(300, int(rng.integers(1, 60)), replace=False) for _ in range(6)]
+        sets = []
+        for _ in range(50):
+            s = set(base[rng.integers(6)].tolist())
+            for _ in range(int(rng.integers(0, 5))):
+                s.symmetric_difference_update({int(rng.integers(300))})
+            sets.append(np.array(sorted(s or {1000 + trial}), np.int64))
+        m = len(sets)
+        link = np.array([[100 * len(np.intersect1d(a, b)) >= percent * len(np.union1d(a, b)) for b in sets] for a in sets])
+        reach = link.copy()
+        for _ in range(7):
+            reach = (reach.astype(int) @ reach.astype(int)) > 0
+        assert jaccard_join.search(sets, percent).tolist() == [int(np.flatnonzero(reach[i])[0]) for i in range(m)]
+
+
+def test_answers_are_derived_and_blocks_are_skipped(monkeypatch):
+    counted, looked = [], []
+    overlaps, met = jaccard_join.Lists.overlaps, jaccard_join.Lists.met
+    monkeypatch.setattr(jaccard_join.Lists, "overlaps", lambda self, x, others: (counted.append(len(others)), overlaps(self, x, others))[1])
+    monkeypatch.setattr(jaccard_join.Lists, "met", lambda self, x, left: (looked.append(x), met(self, x, left))[1])
+    chain = [np.arange(i, i + 100) for i in range(0, 400, 4)]  # each links to its neighbours only
+    assert set(jaccard_join.search(chain, 85).tolist()) == {0}
+    assert len(looked) >= 50 and sum(counted) < 0.1 * 100 * 100
+
+
+def test_words_that_a_polynomial_would_confuse(spark):
+    flip = lambda s: s.translate(str.maketrans("ab", "ba"))
+    w1 = "a"
+    for _ in range(10):
+        w1 += flip(w1)
+    w2 = flip(w1)
+    data = [(1, f"{w1} x y z"), (2, f"{w2} x y z"), (3, f"{w1} x y z {w2} x y z")]
+    got = {r.id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert got == {1: (1, 1), 2: (1, 2), 3: (5, 3)}
+
+
+def test_rows_that_share_an_id(spark):
+    text = " ".join(f"w{i}" for i in range(50))
+    docs = spark.createDataFrame([(1, text, 0), (5, text + " more", 1), (5, "something else that is said", 2)], "doc_id long, text string, node int")
+    assert sorted((r.id, r.component_id) for r in jaccard_join.jaccard_components(docs).collect()) == [(1, 1), (5, 1), (5, 5)]
+    left = jaccard_join.one_of_each(docs)
+    assert left.columns == docs.columns and sorted((r.doc_id, r.node) for r in left.collect()) == [(1, 0), (5, 2)]
 
 
 def test_components(spark):
