@@ -17,9 +17,10 @@ def queries() -> dict:
         jaccard_join.op8_jaccard_join,
         mixing.op9_mixing,
         bpe.op10_byte_bpe,
+        tool_calls.linked_tool_calls,
     ]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": exact_dedup.SQL, "op4_tool_calls": tool_calls.SQL}
+    return {"op2_exact_dedup": exact_dedup.SQL, "op4_tool_calls": tool_calls.SQL, "linked_tool_calls": tool_calls.LINKED_SQL}

@@ -16,6 +16,7 @@ CONTRACTS = {
     "op2_exact_dedup": (["doc_id", "keep_id", "group_size", "kept", "text_sha256"], "documents"),
     "op3_secret_scan": (["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"], "documents"),
     "op4_tool_calls": (["conv_id", "call_id", "status", "json"], None),
+    "linked_tool_calls": (["conv_id", "call_id", "level", "errors", "json"], None),
     "op5_ann": (["query_id", "rank", "vec_id", "score"], None),
     "op6_license_scan": (["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"], "documents"),
     "op7_language_id": (["doc_id", "held_out", "lang_pred", "score"], "documents"),

@@ -1,6 +1,7 @@
 """Exact dedup, language ID, toxicity, secrets, licenses and tool calls on small tables."""
 
 import hashlib
+import json
 import random
 import re
 import time
@@ -355,15 +356,55 @@ def test_calls_are_linked(spark):
     ]
     df = spark.createDataFrame(messages, "conv_id long, turn long, role string, text string")
     schemas = tool_calls.SCHEMAS | {"add": {"x": ("number", True), "y": ("integer", True)}}
-    got = {(r.conv_id, r.call_id): r for r in tool_calls.link(df, schemas).collect()}
+    every = [r for r in tool_calls.link(df, schemas).collect()]
+    assert [(r.status, r.json) for r in every if r.call_id == "a" and r.number == 2] == [("orphan result", '{"id":"a","result":"again"}')]
+    got = {(r.conv_id, r.call_id): r for r in every if r.number == 1}
     assert {k: v.status for k, v in got.items()} == {(1, "turn:0"): "notice", (1, "turn:1"): "linked", (1, "turn:3"): "orphan result", (1, "turn:5"): "no result", (2, "turn:0"): "no result", (2, "b"): "no result", (2, "a"): "linked", (2, "c"): "no result", (2, "zz"): "orphan result", (3, "p"): "no result", (3, "q"): "no result"}
     assert got[1, "turn:1"].json == '{"arguments":{"text":"a \\"b\\"\\n"},"id":"turn:1","name":"reply","result":"c","turn":1}'
     assert got[2, "a"].json == '{"arguments":{"x":"no","z":1},"id":"a","name":"add","result":{"k":[1,null],"v":3},"turn":1}'
     assert got[2, "b"].json == '{"arguments":{"x":1.5,"y":2},"id":"b","name":"add","turn":1}'
-    assert (got[2, "a"].errors, got[2, "b"].errors, got[2, "c"].errors, got[2, "a"].n_results) == ("missing y; unknown z; x is no number", "", "unknown function", 2)
+    assert (got[2, "a"].errors, got[2, "b"].errors, got[2, "c"].errors, got[2, "a"].n_results) == ("missing y; unknown z; x is no number", "", "unknown function", 1)
     assert got[2, "a"].level < got[2, "b"].level and [got[3, x].level for x in "pq"] == [-1, -1]
 
 
+def brute_levels(needs):
+    """Level by id of {id: ids it depends on}; -1 on a cycle or behind one."""
+    out, left, level = {}, dict(needs), 0
+    while left:
+        free = [x for x, ns in left.items() if not any(n in left for n in ns)]
+        if not free:
+            return out | dict.fromkeys(left, -1)
+        out |= dict.fromkeys(free, level)
+        left, level = {x: ns for x, ns in left.items() if x not in free}, level + 1
+    return out
+
+
+@pytest.mark.parametrize("most", [tool_calls.MOST, 3])
+def test_calls_are_ordered_like_brute_force(spark, most):
+    rng = random.Random(13)
+    messages, want = [], {}
+    for conv in range(20):
+        names = [f"k{i}" for i in range(rng.randint(1, 12))]
+        needs = {x: sorted({rng.choice([*names, "nobody"]) for _ in range(rng.choice([0, 0, 1, 2]))}) for x in names}
+        turn = {x: i for i, x in enumerate(names)}
+        messages += [(conv, turn[x], "assistant", json.dumps({"tool_calls": [{"id": x, "name": "f", "after": needs[x]}]})) for x in names]
+        forward = any(n in turn and turn[n] >= turn[x] for x in names for n in needs[x])
+        want |= {(conv, x): v if forward else 0 for x, v in brute_levels(needs).items()}
+    messages += [(50, i, "assistant", json.dumps({"tool_calls": [{"id": f"k{i}", "name": "f", "after": [f"k{i + 1}"]}]})) for i in range(60)]  # one long chain
+    want |= {(50, f"k{i}"): 59 - i for i in range(60)} if most > 60 else {}
+    df = spark.createDataFrame([m for m in messages if m[0] != 50 or most > 60], "conv_id long, turn long, role string, text string")
+    assert {(r.conv_id, r.call_id): r.level for r in tool_calls.link(df, most=most).collect()} == want
+
+
+def test_no_message_is_lost(spark):
+    rows = [(1, 1, "user", "first"), (1, 1, "user", "second"), (1, 2, "assistant", "r1"), (1, 2, "assistant", "r2"), (None, 1, "user", "a"), (None, 1, "user", "b"), (None, 2, "assistant", "c"), (2, 0, "user", LONG * 4), (2, 1, "assistant", LONG)]
+    df = spark.createDataFrame([(*r, "x", 7) for r in rows], "conv_id long, turn long, role string, text string, call_id string, number int")
+    got = tool_calls.link(df).collect()
+    said = sorted(t for r in got for t in ([json.loads(r.json)["arguments"]["text"]] if "arguments" in r.json[:14] else []) + ([json.loads(r.json)["result"]] if r.result_turn else []))
+    assert said == sorted(r[3] for r in rows)
+    assert [(r.number, json.loads(r.json)["arguments"]["text"], json.loads(r.json)["result"]) for r in sorted(got, key=lambda r: r.number) if r.conv_id == 1] == [(1, "first", "r1"), (2, "second", "r2")]
+
+
 def test_calls_edges(spark):
     schema = "conv_id long, turn long, role string, text string"
     assert tool_calls.link(spark.createDataFrame([], schema)).count() == 0
