@@ -6,6 +6,7 @@ import contextlib
 import ctypes
 import gc
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -33,11 +34,31 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
-def written(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
+#: The tables of the scopes that are open in a thread, innermost last.
+_scopes = threading.local()
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside are deleted at the end, but for those that are kept for the caller."""
+    stack: list[list[str]] = _scopes.__dict__.setdefault("stack", [])
+    stack.append([])
+    try:
+        yield
+    finally:
+        for path in stack.pop():
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def written(df: DataFrame, label: str, compression: str = "snappy", keep: bool = False) -> DataFrame:
     """df as a Parquet table in the shared folder, read back: the lineage ends there, and a
-    lost executor costs a read of the table instead of the work before it."""
+    lost executor costs a read of the table instead of the work before it. keep: past the innermost scope."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera/{label}-{uuid.uuid4().hex}"
+    scopes = _scopes.__dict__.setdefault("stack", [])[: -1 if keep else None]
+    if scopes:
+        scopes[-1].append(path)
     df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -30,7 +30,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, table, written
+from .common import scratch, shuffle_partitions, table, written
 
 #: The characters deleted before comparison: space, and tab to carriage return.
 SPACES = " \t\n\x0b\x0c\r"
@@ -162,14 +162,15 @@ def build_index(docs: DataFrame, probes: DataFrame, directory: Directory, id_col
 
 def looked_up(docs: DataFrame, id_col: str, text_col: str, capacity: int, buckets: int, hash_bits: int, hot_rows: int) -> DataFrame:
     """(id, n, sha, keep_id, group_size, kept, chain) for every row of docs."""
-    norm = normalised(F.col(text_col))
-    probes = written(docs.select(F.col(id_col).cast("long").alias("id"), F.char_length(F.coalesce(F.col(text_col), F.lit(""))).alias("n"), key_of(norm, hash_bits).alias("key"), F.sha2(norm, 256).alias("sha"), F.octet_length(norm).alias("size")), "dedup-probes")
-    keys = written(probes.groupBy("key").agg(F.max("size").cast("long").alias("size")), "dedup-keys")
-    directory = grow(keys.withColumn("size", F.col("size") + ENTRY), capacity, buckets)
-    index = build_index(docs, probes, directory, id_col, text_col, hash_bits, max(hot_rows, probes.count() // 10_000))
-    found = directory.bucket_of(probes).join(index.drop("norm"), ["bucket", "key", "sha"])
-    kept = F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("keep_id").isNull() | (F.col("n") == F.col("keep_length")))
-    return found.select("id", "n", "sha", "keep_id", "group_size", kept.alias("kept"), "chain")
+    with scratch(docs.sparkSession):
+        norm = normalised(F.col(text_col))
+        probes = written(docs.select(F.col(id_col).cast("long").alias("id"), F.char_length(F.coalesce(F.col(text_col), F.lit(""))).alias("n"), key_of(norm, hash_bits).alias("key"), F.sha2(norm, 256).alias("sha"), F.octet_length(norm).alias("size")), "dedup-probes")
+        keys = written(probes.groupBy("key").agg(F.max("size").cast("long").alias("size")), "dedup-keys")
+        directory = grow(keys.withColumn("size", F.col("size") + ENTRY), capacity, buckets)
+        index = build_index(docs, probes, directory, id_col, text_col, hash_bits, max(hot_rows, probes.count() // 10_000))
+        found = directory.bucket_of(probes).join(index.drop("norm"), ["bucket", "key", "sha"])
+        kept = F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("keep_id").isNull() | (F.col("n") == F.col("keep_length")))
+        return written(found.select("id", "n", "sha", "keep_id", "group_size", kept.alias("kept"), "chain"), "dedup-answers", keep=True)
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, capacity: int = 1 << 24, buckets: int = 1 << 16, hash_bits: int = 64, hot_rows: int = 1_000) -> DataFrame:
@@ -187,7 +188,7 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     names = {c: f"__{i}" for i, c in enumerate(docs.columns)}  # so that no name of docs is in the way
     mine = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items()))
     me, text = names[id_col], names[text_col]
-    found = written(looked_up(mine, me, text, capacity, buckets, hash_bits, hot_rows).select("id", "sha", "kept", "group_size"), "dedup-found")
+    found = looked_up(mine, me, text, capacity, buckets, hash_bits, hot_rows)
     gone = found.filter(~F.col("kept")).select(F.col("id").alias("gone_id"), F.col("sha").alias("gone_sha")).distinct()
     # rows repeated whole: only where a group keeps more than one row
     twice = found.filter(F.col("kept") & (F.col("group_size") > 1)).groupBy("sha").count().filter(F.col("count") > 1).select(F.col("sha").alias("twice_sha"))

@@ -51,7 +51,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, table, tidy, written
+from .common import scratch, shuffle_partitions, table, tidy, written
 from .components import connected
 from .shingles import FACTORS, Hasher, U, exact, fingerprint, mix
 
@@ -470,22 +470,23 @@ def links_of(docs: DataFrame, firsts: DataFrame, edges: DataFrame, common: np.nd
 
 def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample: int = 8_000, least: int = 6, block: int = BLOCK, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(id, n_shingles, component_id, set_id), one row for each row of docs; equal set_id: equal sets."""
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sets = written(sets_of(docs, words), "jaccard-sets")
-    live = docs.filter("id IS NOT NULL AND text IS NOT NULL")
-    common = common_shingles(live, sample, least, words=words)
-    buckets = 1 << max(6, (sets.count() // 1000).bit_length())
-    edges = written(candidate_edges(live, common, buckets, words=words, percent=percent), "jaccard-edges")
-    firsts = sets.filter("node IS NOT NULL AND id IS NOT NULL").groupBy("node").agg(F.min("id").alias("first"), F.min("n").alias("n"))
-    if edges.isEmpty():
-        names = firsts.select("node", F.col("first").alias("component_id"))
-    else:
-        links = written(links_of(live, firsts, edges, common, block, words, percent), "jaccard-links")
-        roots = connected(links, "jaccard-components") if not links.isEmpty() else None
-        rooted = firsts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")) if roots else firsts.withColumn("root", F.col("node"))
-        names = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("node", "component_id")
-    out = sets.join(names, "node", "left")
-    return out.select("id", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"), F.col("node").alias("set_id"))
+    with scratch(docs.sparkSession):
+        docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+        sets = written(sets_of(docs, words), "jaccard-sets")
+        live = docs.filter("id IS NOT NULL AND text IS NOT NULL")
+        common = common_shingles(live, sample, least, words=words)
+        buckets = 1 << max(6, (sets.count() // 1000).bit_length())
+        edges = written(candidate_edges(live, common, buckets, words=words, percent=percent), "jaccard-edges")
+        firsts = sets.filter("node IS NOT NULL AND id IS NOT NULL").groupBy("node").agg(F.min("id").alias("first"), F.min("n").alias("n"))
+        if edges.isEmpty():
+            names = firsts.select("node", F.col("first").alias("component_id"))
+        else:
+            links = written(links_of(live, firsts, edges, common, block, words, percent), "jaccard-links")
+            roots = connected(links, "jaccard-components") if not links.isEmpty() else None
+            rooted = firsts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")) if roots else firsts.withColumn("root", F.col("node"))
+            names = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("node", "component_id")
+        out = sets.join(names, "node", "left")
+        return written(out.select("id", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"), F.col("node").alias("set_id")), "jaccard-answers", keep=True)
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:

@@ -7,14 +7,15 @@ wins. Sizes are whole bytes, so short texts can tie; ties are broken by a finer
 of three bytes) over all tails of the text that begin with a word, then by the frequency of the languages in the learning rows.
 
 A document is rejected if its two smallest totals differ by a smaller share of the smallest than
-``least``, or not at all, as is one without letters. Learning sets ``least``: every eighth of the chosen rows
-is kept out of the dictionaries, and so are texts of random letters, in the frequencies of these
+``least``, or not at all, as is one without letters. Learning sets ``least`` by rows that are kept out of
+the dictionaries, and texts of random letters, in the frequencies of these
 rows, as long as the rows are. The share lies midway (as a factor) between what nearly all of the
 random texts stay below and what nearly all of the rows reach.
 
-Learning reads a bounded, documented sample: for each language at most ``docs_per_language``
-documents, chosen by a hash of their id, ``excerpt`` characters of each, ``dictionary_bytes`` in
-all. Prediction reads whole texts. Languages are the labels found, which are few.
+Learning reads a bounded, documented sample of rows, whole texts: for each language at most
+``docs_per_language`` documents for its dictionary and ``judged`` more for the least margin, chosen by a hash
+of their id. Prediction reads whole texts. Languages are the labels found, which are few. Letters are the
+characters of Unicode's categories L; all others part words.
 
 A null text or one without a letter is ``und`` with score 0; so is every text if no row has a
 language to learn. Rows are independent, so repeated rows get equal answers. Columns of docs are
@@ -34,10 +35,24 @@ from pyspark.sql import functions as F
 
 from .common import crc_mod, table, tidy
 
-NOT_LETTERS = re.compile(r"[\W\d_]+")
+
+
+def not_letters() -> re.Pattern:
+    """Runs of anything but letters: what re has for words, less digits, underscores and other numbers."""
+    odd = [i for i in range(0x110000) if (c := chr(i)).isalnum() and not c.isalpha() and not c.isdecimal()]
+    runs: list[list[int]] = []
+    for i in odd:
+        if runs and runs[-1][1] == i - 1:
+            runs[-1][1] = i
+        else:
+            runs.append([i, i])
+    return re.compile(r"[\W\d_" + "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in runs) + "]+")
+
+
+NOT_LETTERS = not_letters()
 LEVEL, BLOCK = 9, 2048
-#: One in so many of the rows chosen for learning is kept to find the least margin; at least so many letters.
-KEPT_OUT, LEAST_BYTES = 8, 200
+#: Rows that say something about the least margin have so many letters at least.
+LEAST_BYTES = 200
 #: The least margin where learning rows say nothing about it.
 USUAL = 0.04
 OUT = "lang_pred string, score double, margin int, rejected boolean"
@@ -69,20 +84,23 @@ def least_margin(dictionaries: list[tuple[str, bytes]], rows: list[bytes]) -> fl
     return math.sqrt(low * high) if low > high > 0 else min(low, USUAL)
 
 
-def learn(docs: DataFrame, learn_rows: Column, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_language: int = 400, excerpt: int = 600, dictionary_bytes: int = 110_000) -> Dictionaries:
+def learn(docs: DataFrame, learn_rows: Column, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_language: int = 40, judged: int = 60) -> Dictionaries:
     """(language, dictionary) pairs, most frequent language first."""
-    rows = docs.filter(learn_rows & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col), F.lit(7)).alias("h"), F.substring(F.col(text_col), 1, excerpt).alias("part"))
+    rows = docs.filter(learn_rows & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col), F.lit(7)).alias("h"), F.col(text_col).alias("part"))
+    most = docs_per_language + judged
     often = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
     # about twice as many as wanted, by hash, so that no language's rows meet in one task
-    share = F.create_map(*(x for k, v in often.items() for x in (F.lit(k), F.lit(min(1.0, 2 * docs_per_language / v) * 1e6)))) if often else F.lit(None)
+    share = F.create_map(*(x for k, v in often.items() for x in (F.lit(k), F.lit(min(1.0, 2 * most / v) * 1e6)))) if often else F.lit(None)
     some = rows.filter(F.pmod("h", F.lit(1_000_000)) < share[F.col("lang")]) if often else rows.limit(0)
     first = F.row_number().over(Window.partitionBy("lang").orderBy("h", "part"))
     picked: dict[str, list[tuple[int, bytes]]] = {}
-    for lang, n, part in some.withColumn("n", first).filter(F.col("n") <= docs_per_language).select("lang", "n", "part").collect():
+    for lang, n, part in some.withColumn("n", first).filter(F.col("n") <= most).select("lang", "n", "part").collect():
         picked.setdefault(lang, []).append((n, folded(part)))
-    made = {k: b"".join(x for n, x in sorted(v) if n % KEPT_OUT)[:dictionary_bytes] for k, v in picked.items()}
+    # where rows are few, every fourth is kept out
+    share = {k: min(docs_per_language, len(v) - len(v) // 4) for k, v in picked.items()}
+    made = {k: b"".join(x for n, x in sorted(v) if n <= share[k]) for k, v in picked.items()}
     found = Dictionaries((k, made[k]) for k in sorted(made, key=lambda k: (-often[k], k)) if made[k])
-    found.least = least_margin(found, [x for k in sorted(picked) for n, x in sorted(picked[k]) if n % KEPT_OUT == 0])
+    found.least = least_margin(found, [x for k in sorted(picked) for n, x in sorted(picked[k]) if n > share[k]])
     return found
 
 

@@ -1,7 +1,9 @@
 """License scans by ordered signature rules.
 
 Every license has a hand-written name pattern; four templates (SPDX tag, grant, web address, bare
-name) make its rules, a few hundred in all, each with a keyword without which it cannot match. A
+name) make its rules, and sentences of license texts make some more, a few hundred in all, each with a keyword
+without which it cannot match. An SPDX tag may hold an expression (AND, OR, WITH, brackets); each license in
+it is found, and tags don't suppress each other. A
 text is first searched for a few short strings of which every rule needs one, then for each rule's
 keyword, and only rules whose keyword occurs are run. Keywords see white space and hyphens as one space. Their hits are intervals of code points. A hit that lies within
 another of the same or a better priority is suppressed; rules that name no license count only
@@ -104,6 +106,20 @@ LICENSES = [
     ("w3c", "w3c", r"W3C\s+(?:Software\s+)?(?:Notice\s+and\s+)?licen[cs]e", "W3C", r"w3\.org/Consortium/Legal"),
     ("zpl-2.1", "zope", r"Zope\s+Public\s+licen[cs]e", "ZPL-[12].[01]", r"zope\.org/Resources/ZPL"),
 ]
+# Label, keyword, sentence of the license's text.
+TEXTS = [
+    ("mit", "permission is hereby granted", r"Permission\s+is\s+hereby\s+granted,\s+free\s+of\s+charge,\s+to\s+any\s+person\s+obtaining\s+a\s+copy\s+of\s+this\s+software\s+and\s+associated"),
+    ("bsl-1.0", "permission is hereby granted", r"Permission\s+is\s+hereby\s+granted,\s+free\s+of\s+charge,\s+to\s+any\s+person\s+or\s+organization\s+obtaining\s+a\s+copy"),
+    ("isc", "permission to use", r"Permission\s+to\s+use,\s+copy,\s+modify,\s+and(?:/or)?\s+distribute\s+this\s+software\s+for\s+any\s+purpose\s+with\s+or\s+without\s+fee"),
+    ("bsd", "redistribution and use", r"Redistribution\s+and\s+use\s+in\s+source\s+and\s+binary\s+forms,\s+with\s+or\s+without\s+modification,?\s+are\s+permitted"),
+    ("unlicense", "unencumbered", r"free\s+and\s+unencumbered\s+software\s+released\s+into\s+the\s+public\s+domain"),
+    ("zlib", "express or implied warranty", r"provided\s+.as-is.,\s+without\s+any\s+express\s+or\s+implied\s+warranty"),
+    ("gpl", "is free software", r"This\s+(?:program|library)\s+is\s+free\s+software[;:]\s+you\s+can\s+redistribute\s+it\s+and/or\s+modify"),
+    ("gpl", "verbatim copies", r"Everyone\s+is\s+permitted\s+to\s+copy\s+and\s+distribute\s+verbatim\s+copies\s+of\s+this\s+licen[cs]e\s+document"),
+    ("mpl-2.0", "source code form", r"This\s+Source\s+Code\s+Form\s+is\s+subject\s+to\s+the\s+terms\s+of\s+the\s+Mozilla\s+Public\s+licen[cs]e"),
+    ("apache-2.0", "terms and conditions for use", r"terms\s+and\s+conditions\s+for\s+use,\s+reproduction,\s+and\s+distribution"),
+    ("cc0-1.0", "dedicated the work", r"has\s+dedicated\s+the\s+work\s+to\s+the\s+public\s+domain"),
+]
 #: Rules that name no license: they count only where nothing else is left.
 NOTICES = [
     ("copyright-notice", "copyright", r"copyright\s+(?:\(c\)|©)?\s*\d{4}"),
@@ -119,17 +135,21 @@ GRANTED = r"(?:licen[cs]ed|released|distributed|available|provided|published|cov
 # Phrases of words and their labels.
 PHRASES = [("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl")]
 #: Every rule and phrase needs one of these in the lower-case text.
-GATE = ["licen", "spdx", "copyright", "reserved", "domain", "proprietary", "creative", "attribution", "cc0", "cc by", "cc-by", "wtfpl", "bsd", ".org", ".net", ".com/", ".eu"]
+GATE = ["licen", "spdx", "copyright", "reserved", "domain", "proprietary", "creative", "attribution", "cc0", "cc by", "cc-by", "wtfpl", "bsd", ".org", ".net", ".com/", ".eu", "permission", "redistribut", "unencumbered", "warranty", "reproduction", "source code"]
 WORD, GAP = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 HIT = "struct<start:int,back:int,pri:int,id:int,label:string>"
 
 
 def rules() -> list[dict]:
-    """All signature rules, in order: one for each license and template, then the notices."""
-    made = []
+    """All signature rules, in order: one for each license and template, sentences, then the notices."""
+    made, tags = [], set()
     for label, keyword, name, spdx, address in LICENSES:
-        made += [(TAG, "spdx-license", rf"SPDX-License-Identifier:\s*{spdx}(?![\w.-])"), (GRANT, keyword, GRANTED + rf"(?:{name})"), (ADDRESS, address.split(r"\.")[0].rsplit("/", 1)[-1], rf"(?:https?://)?(?:www\.)?{address}"), (NAME, keyword, rf"(?<![\w-])(?:{name})(?![\w-])")]
-        made = [r if len(r) == 4 else (*r, label) for r in made]
+        own = [(GRANT, keyword, GRANTED + rf"(?:{name})"), (ADDRESS, address.split(r"\.")[0].rsplit("/", 1)[-1], rf"(?:https?://)?(?:www\.)?{address}"), (NAME, keyword, rf"(?<![\w-])(?:{name})(?![\w-])")]
+        if spdx not in tags:
+            tags.add(spdx)
+            own.insert(0, (TAG, "spdx-license", rf"SPDX-License-Identifier:[\s(]*(?:[\w.+-]+[\s)]+(?:AND|OR|WITH)[\s(]+)*{spdx}(?![\w.-])"))
+        made += [(*r, label) for r in own]
+    made += [(GRANT, keyword, pattern, label) for label, keyword, pattern in TEXTS]
     made += [(NOTICE, keyword, pattern, label) for label, keyword, pattern in NOTICES]
     return [{"id": i, "pri": p, "kw": k.lower().replace("-", " "), "re": f"(?i){x}", "label": label} for i, (p, k, x, label) in enumerate(made)]
 
@@ -153,12 +173,13 @@ def hits(text: str, low: str) -> str:
 
 def kept(found: str) -> str:
     """SQL: hits within no other of their priority or a better one. Sorted so, whatever holds a
-    hit comes before it, and the furthest end so far for each priority decides."""
+    hit comes before it, and the furthest end so far for each priority decides. A tag's own hits
+    begin alike, one for each license in it, and all stay."""
     ends = ", ".join(f"-1 AS e{p}" for p in WEIGHTS)
     furthest = "greatest(" + ", ".join(f"IF({p} <= d.pri, a.e{p}, -1)" for p in WEIGHTS) + ")"
     moved = ", ".join(f"IF(d.pri = {p}, greatest(a.e{p}, -d.back), a.e{p}) AS e{p}" for p in WEIGHTS)
     return f"""aggregate({found}, struct(cast(array() AS array<{HIT}>) AS found, {ends}),
-        (a, d) -> struct(IF({furthest} >= -d.back, a.found, concat(a.found, array(d))) AS found, {moved}), a -> a.found)"""
+        (a, d) -> struct(IF(d.pri > {TAG} AND {furthest} >= -d.back, a.found, concat(a.found, array(d))) AS found, {moved}), a -> a.found)"""
 
 
 def words(text: Column) -> Column:

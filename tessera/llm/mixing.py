@@ -18,13 +18,19 @@ The default budget is the smallest at which no domain has to be cut, so that the
 repeating documents and none is lost; a budget below that makes rates under 1. ``copies`` is the rate's
 whole part plus one with the probability of its fraction, drawn by a hash of the id.
 
+Tokens are the words between white space of the whole text; ideographs, kana and syllables, which stand
+without spaces, count one each. ``residual`` is how far the expected tokens stay from the targets, as a share
+of all of them; above ``RESIDUAL`` there is a warning, as targets may be out of reach (no document with
+a share of a wanted domain, or a least rate that is too high).
+
 Null texts count as empty, with no tokens, the share of each domain as posteriors and a rate like any
 other. Without labelled rows there is one domain and every rate is budget / tokens. Repeated rows get
-equal rates and copies. Columns of docs are passed on; columns of the result's names are replaced.
+equal rates and copies. An empty table gives an empty one. Columns of docs are passed on; columns of the result's names are replaced.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -33,10 +39,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, tidy, written
+from .common import scratch, table, tidy, written
 from .toxicity import Features, Model, Trees, isotonic, learn_lexicon
 
 NEW = "posterior array<double>, tokens long"
+#: Share of all tokens by which targets may be missed without a warning.
+RESIDUAL = 0.01
+
+
+def tokens_in(text: str) -> int:
+    """Words between white space, and one for each character of scripts that have no spaces: by
+    the first bytes of U+3000 to U+D7FF in UTF-8. A run of such characters adds one as a word, too."""
+    n = len(text.split())
+    if not text.isascii():
+        raw = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
+        n += int(np.count_nonzero((raw >= 0xE3) & (raw <= 0xED)))
+    return n
 
 
 @dataclass
@@ -59,40 +77,41 @@ class Domains:
 
 
 def fit_domains(docs: DataFrame, labels: DataFrame, domain: Column, *, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 8_000, folds: int = 3) -> Domains:
-    marked = labels.select(F.col(id_col).alias("id"), domain.cast("string").alias("domain")).filter("id IS NOT NULL AND domain IS NOT NULL").groupBy("id").agg(F.min("domain").alias("domain"))
-    some = marked.orderBy(F.xxhash64("id", F.lit(29)), "id").limit(sample_rows)
-    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = written(texts.join(F.broadcast(some), "id").repartition(24), "mixing-sample")  # some: at most sample_rows small rows
-    count = {r[0]: r[1] for r in rows.groupBy("domain").count().collect()}
-    names = sorted(count)
-    if not names:
-        return Domains(["all"], np.ones(1))
-    n = sum(count.values())
-    made = Domains(names, np.array([count[x] / n for x in names]))
-    if len(names) == 1:
+    with scratch(docs.sparkSession):
+        marked = labels.select(F.col(id_col).alias("id"), domain.cast("string").alias("domain")).filter("id IS NOT NULL AND domain IS NOT NULL").groupBy("id").agg(F.min("domain").alias("domain"))
+        some = marked.orderBy(F.xxhash64("id", F.lit(29)), "id").limit(sample_rows)
+        texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+        rows = written(texts.join(F.broadcast(some), "id").repartition(24), "mixing-sample")  # some: at most sample_rows small rows
+        count = {r[0]: r[1] for r in rows.groupBy("domain").count().collect()}
+        names = sorted(count)
+        if not names:
+            return Domains(["all"], np.ones(1))
+        n = sum(count.values())
+        made = Domains(names, np.array([count[x] / n for x in names]))
+        if len(names) == 1:
+            return made
+        rare = [x for x in names if count[x] < max(count.values())]
+        made.lexicons = [learn_lexicon(rows.select("text", (F.col("domain") == x).cast("int").alias("y")), n, count[x]) for x in sorted(rare, key=lambda x: -count[x])]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            make = made.features()
+            for batch in batches:
+                x = [make(t) for t in batch.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column("id").cast(pa.string()), batch.column("domain"), pa.array(x, pa.list_(pa.float64()))], ["id", "domain", "x"])
+
+        got = sorted((r[0], r[1], list(r[2])) for r in rows.mapInArrow(run, "id string, domain string, x array<double>").collect())
+        x, fold = np.array([r[2] for r in got]), np.arange(len(got)) % folds
+        for name in names:
+            y = np.array([float(r[1] == name) for r in got])
+            out = np.zeros(len(y))
+            for k in range(folds):
+                out[fold == k] = Trees(rounds=40).fit(x[fold != k], y[fold != k]).margin(x[fold == k])
+            made.models.append(Model(frozenset(), Trees(rounds=40).fit(x, y), isotonic(out, y)))
         return made
-    rare = [x for x in names if count[x] < max(count.values())]
-    made.lexicons = [learn_lexicon(rows.select("text", (F.col("domain") == x).cast("int").alias("y")), n, count[x]) for x in sorted(rare, key=lambda x: -count[x])]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make = made.features()
-        for batch in batches:
-            x = [make(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("id").cast(pa.string()), batch.column("domain"), pa.array(x, pa.list_(pa.float64()))], ["id", "domain", "x"])
-
-    got = sorted((r[0], r[1], list(r[2])) for r in rows.mapInArrow(run, "id string, domain string, x array<double>").collect())
-    x, fold = np.array([r[2] for r in got]), np.arange(len(got)) % folds
-    for name in names:
-        y = np.array([float(r[1] == name) for r in got])
-        out = np.zeros(len(y))
-        for k in range(folds):
-            out[fold == k] = Trees(rounds=40).fit(x[fold != k], y[fold != k]).margin(x[fold == k])
-        made.models.append(Model(frozenset(), Trees(rounds=40).fit(x, y), isotonic(out, y)))
-    return made
 
 
 def memberships(docs: DataFrame, model: Domains, *, text_col: str = "text") -> DataFrame:
-    """docs with posterior over model.names and tokens, the words of the text."""
+    """docs with posterior over model.names and tokens."""
     rest = docs.drop("posterior", "tokens")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,7 +119,7 @@ def memberships(docs: DataFrame, model: Domains, *, text_col: str = "text") -> D
         for batch in batches:
             texts = [t.as_py() or "" for t in batch.column(text_col)]
             p = model.posterior(np.array([make(t) for t in texts]).reshape(len(texts), -1)) if texts else []
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(p), pa.list_(pa.float64())), pa.array([t.count(" ") + t.count("\n") + 1 if t else 0 for t in texts], pa.int64())], [*batch.schema.names, "posterior", "tokens"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(p), pa.list_(pa.float64())), pa.array([tokens_in(t) for t in texts], pa.int64())], [*batch.schema.names, "posterior", "tokens"])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema), NEW])
     return rest.mapInArrow(tidy(run), schema)
@@ -153,7 +172,7 @@ def fit_rates(members: DataFrame, names: list[str], weights: dict[str, float] |
 
 @dataclass
 class Mix:
-    """A fitted mixture. members: (id, posterior, tokens), a narrow table in the shared folder."""
+    """A fitted mixture. members: (id, posterior, tokens), and whole rows if they were asked for, in the shared folder."""
 
     model: Domains
     steps: list[list[float]]
@@ -161,6 +180,7 @@ class Mix:
     reached: np.ndarray
     members: DataFrame
     least: float = 0.0
+    names: dict[str, str] = field(default_factory=dict)  # columns of whole rows in members
 
     def rates(self, rows: DataFrame, id_col: str) -> DataFrame:
         """rows, which have posterior and tokens, with rate and copies."""
@@ -168,24 +188,33 @@ class Mix:
         copies = F.floor("rate") + F.when(draw < F.col("rate") - F.floor("rate"), 1).otherwise(0)
         return rows.withColumn("rate", rate_after(self.steps, len(self.model.names), self.least)).withColumn("copies", copies.cast("int"))
 
-    def repeated(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """docs, each row as often as its copies, with docs' own columns. Posteriors are worked out
-        again, which costs less than to move texts to a table of copies."""
-        names = {c: f"__{i}" for i, c in enumerate(docs.columns)}  # so that no name of docs is in the way
-        mine = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items()))
-        rated = self.rates(memberships(mine, self.model, text_col=names[text_col]), names[id_col])
+    @property
+    def residual(self) -> float:
+        return float(np.abs(self.reached - self.target).max() / max(1.0, self.target.sum()))
+
+    def repeated(self) -> DataFrame:
+        """The rows of the documents that were fitted, each as often as its copies, with their own columns."""
+        rated = self.rates(self.members, "id")
         once = rated.withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.col("copies"))))
-        return once.select(*(F.col(n).alias(c) for c, n in names.items()))
+        return once.select(*(F.col(n).alias(c) for c, n in self.names.items()))
 
 
-def fit_mix(docs: DataFrame, labels: DataFrame, domain: str, *, weights: dict[str, float] | None = None, boost: dict[str, float] | None = None, budget: float | None = None, least: float = 0.0, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 8_000) -> Mix:
+def fit_mix(docs: DataFrame, labels: DataFrame, domain: str, *, weights: dict[str, float] | None = None, boost: dict[str, float] | None = None, budget: float | None = None, least: float = 0.0, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 8_000, whole_rows: bool = False) -> Mix:
     """weights: target shares by domain; or boost: factors on the shares found, 1 where not named.
-    least: the rate that no document goes below; at 1 none is lost."""
+    least: the rate that no document goes below; at 1 none is lost. whole_rows: keep the documents' rows
+    beside their posteriors, in the same table, so that `repeated` reads texts and features them once."""
     model = fit_domains(docs, labels, F.expr(domain), id_col=id_col, text_col=text_col, sample_rows=sample_rows)
-    found = memberships(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), model)
-    members = written(found.select("id", "posterior", "tokens"), "mixing-members")
-    steps, target, reached = fit_rates(members, model.names, weights, boost, budget, least)
-    return Mix(model, steps, target, reached, members, least)
+    names = {c: f"__{i}" for i, c in enumerate(docs.columns)} if whole_rows else {}  # so that no name of docs is in the way
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), *(F.col(f"`{c}`").alias(n) for c, n in names.items() if c != text_col))
+    found = memberships(rows, model)
+    if whole_rows:
+        found = found.withColumnRenamed("text", names[text_col])
+    members = written(found.select("id", "posterior", "tokens", *names.values()), "mixing-members", compression="zstd" if whole_rows else "snappy")
+    steps, target, reached = fit_rates(members.select("posterior", "tokens"), model.names, weights, boost, budget, least)
+    made = Mix(model, steps, target, reached, members, least, names)
+    if made.residual > RESIDUAL:
+        warnings.warn(f"the mixture misses its targets by {made.residual:.1%} of all tokens", stacklevel=2)
+    return made
 
 
 #: The labels make three domains: good prose, poor prose and toxic text.
@@ -197,4 +226,4 @@ def op9_mixing(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     fitted = fit_mix(docs, table(spark, sf_dir, "labels"), DOMAIN, weights=TARGET)
     names = fitted.model.names
-    return fitted.rates(fitted.members.withColumnRenamed("id", "doc_id"), "doc_id").select("doc_id", "tokens", *(F.col("posterior")[i].alias(f"p_{n}") for i, n in enumerate(names)), "rate", "copies")
+    return fitted.rates(fitted.members.withColumnRenamed("id", "doc_id"), "doc_id").select("doc_id", "tokens", *(F.col("posterior")[i].alias(f"p_{n}") for i, n in enumerate(names)), "rate", "copies", F.lit(fitted.residual).alias("residual"))

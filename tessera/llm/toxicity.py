@@ -13,7 +13,7 @@ to out-of-fold margins. Scoring is one map over all rows.
 
 A null text counts as empty. Without labelled rows every score is 0; with one class only, its
 value. Labels that are null are left out; of several labels for one id the largest counts. Repeated
-rows get equal scores. Columns of docs are passed on; ones named score or predicted are replaced.
+rows get equal scores; an empty table gives an empty one. Columns of docs are passed on; ones named score or predicted are replaced.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, table, tidy, written
+from .common import crc_mod, scratch, table, tidy, written
 
 #: Insults that count from the start, whatever the labels say.
 LEXICON = frozenset("stupid idiot idiots idiotic moron morons trash garbage disgusting pathetic worthless scum loser losers clown dumb imbecile filth filthy vermin shut hate kill".split())
@@ -68,6 +68,8 @@ class Features:
     def look_up(self, words: set[str]) -> None:
         if len(self.plain) > CACHE:
             self.plain.clear()
+        if len(self.kinds) > CACHE:
+            self.kinds.clear()
         for w in words - self.plain - self.kinds.keys():
             if k := self.kind(w):
                 self.kinds[w] = k
@@ -240,24 +242,25 @@ def learn_lexicon(rows: DataFrame, n: int, positive: int, *, candidates: int = 2
 
 
 def fit(docs: DataFrame, labels: DataFrame, admitted: Column, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = 12_000, folds: int = 4) -> Model:
-    rows = sample(docs, labels, admitted, sample_rows, id_col, text_col, label_col)
-    n, positive = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
-    if not n or positive in (0, n):
-        return Model(constant=float(bool(n and positive == n)))
-    learned = learn_lexicon(rows, n, positive)
+    with scratch(docs.sparkSession):
+        rows = sample(docs, labels, admitted, sample_rows, id_col, text_col, label_col)
+        n, positive = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
+        if not n or positive in (0, n):
+            return Model(constant=float(bool(n and positive == n)))
+        learned = learn_lexicon(rows, n, positive)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make = Features(learned)
-        for batch in batches:
-            x = [make(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("id").cast(pa.string()), batch.column("y"), pa.array(x, pa.list_(pa.float64()))], ["id", "y", "x"])
-
-    got = sorted((r[0], r[1], list(r[2])) for r in rows.mapInArrow(run, "id string, y int, x array<double>").collect())
-    x, y = np.array([r[2] for r in got]), np.array([r[1] for r in got], float)
-    fold, out = np.arange(len(y)) % folds, np.zeros(len(y))
-    for k in range(folds):
-        out[fold == k] = Trees().fit(x[fold != k], y[fold != k]).margin(x[fold == k])
-    return Model(learned, Trees().fit(x, y), isotonic(out, y))
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            make = Features(learned)
+            for batch in batches:
+                x = [make(t) for t in batch.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column("id").cast(pa.string()), batch.column("y"), pa.array(x, pa.list_(pa.float64()))], ["id", "y", "x"])
+
+        got = sorted((r[0], r[1], list(r[2])) for r in rows.mapInArrow(run, "id string, y int, x array<double>").collect())
+        x, y = np.array([r[2] for r in got]), np.array([r[1] for r in got], float)
+        fold, out = np.arange(len(y)) % folds, np.zeros(len(y))
+        for k in range(folds):
+            out[fold == k] = Trees().fit(x[fold != k], y[fold != k]).margin(x[fold == k])
+        return Model(learned, Trees().fit(x, y), isotonic(out, y))
 
 
 def score(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:

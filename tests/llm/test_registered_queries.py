@@ -102,3 +102,17 @@ def test_base_answers_in_sql(results, duck, name, sql):
     result = duck.execute(sql)
     names = [d[0] for d in result.description]
     assert sorted(tuple(r) for r in results[name].select(*names).collect()) == sorted(result.fetchall())
+
+
+LARGER = "/root/testdata/sf0.1"
+
+
+@pytest.mark.skipif(not os.path.isdir(LARGER), reason="no test tables")
+def test_toxicity_on_a_larger_table(spark):
+    from tessera.llm.toxicity import op1_toxicity
+
+    truth = dict(duckdb.execute(f"SELECT doc_id, max(toxic) FROM '{LARGER}/labels.parquet' GROUP BY doc_id").fetchall())
+    held = [(r.score, r.predicted, truth[r.doc_id]) for r in op1_toxicity(spark, LARGER).collect() if r.held_out and r.doc_id in truth]
+    pos, neg = [s for s, _, y in held if y], [s for s, _, y in held if not y]
+    assert len(pos) >= 30 and sum((a > b) + 0.5 * (a == b) for a in pos for b in neg) >= 0.95 * len(pos) * len(neg)
+    assert sum(p == y for _, p, y in held) >= 0.95 * len(held)

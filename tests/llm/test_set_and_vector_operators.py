@@ -1,7 +1,6 @@
 """Jaccard join, neighbours, mixing, BPE and the pipeline on small tables."""
 
 import base64
-import hashlib
 import os
 import random
 import re
@@ -262,14 +261,15 @@ def test_mixture_meets_its_targets(spark):
     data = [(i, " ".join(rng.choice(make[d]) for _ in range(rng.randint(20, 60))), d) for i in range(400) for d in [rng.choice(["good"] * 6 + ["poor"] * 2 + ["toxic"])]]
     docs = spark.createDataFrame([(i, t, 1) for i, t, _ in data] + [(900, None, 1), (901, "", 1), (902, "lorem ipsum " * 20_000, 1)], "doc_id long, text string, rate int")
     labels = spark.createDataFrame([(i, int(d == "good"), int(d == "toxic")) for i, _, d in data if i % 2] + [(None, 1, 1), (1, None, None)], "doc_id long, quality int, toxic int")
-    fitted = mixing.fit_mix(docs, labels, mixing.DOMAIN, weights={"good": 0.6, "poor": 0.3, "toxic": 0.1})
+    fitted = mixing.fit_mix(docs, labels, mixing.DOMAIN, weights={"good": 0.6, "poor": 0.3, "toxic": 0.1}, whole_rows=True)
+    assert fitted.residual < mixing.RESIDUAL
     assert fitted.model.names == ["good", "poor", "toxic"]
     rated = fitted.rates(fitted.members, "id").collect()
     reached = sum(np.array(r.posterior) * r.tokens * r.rate for r in rated)
     assert np.allclose(reached, fitted.target, rtol=0.01) and np.allclose(reached / reached.sum(), [0.6, 0.3, 0.1], atol=0.01)
     assert all(r.rate >= 0 and int(r.rate) <= r.copies <= int(r.rate) + 1 and abs(sum(r.posterior) - 1) < 1e-6 for r in rated)
     assert {r.id: r.tokens for r in rated if r.id in (900, 901)} == {900: 0, 901: 0}
-    again = fitted.repeated(docs)
+    again = fitted.repeated()
     assert again.columns == docs.columns and again.count() == sum(r.copies for r in rated)
     small = mixing.fit_mix(docs, labels, mixing.DOMAIN, weights={"good": 0.9, "toxic": 0.0, "poor": 0.1}, budget=2000.0)
     assert sum(r.rate * r.tokens for r in small.rates(small.members, "id").collect()) == pytest.approx(2000, rel=0.05)
@@ -281,7 +281,23 @@ def test_mixture_edges(spark):
     fitted = mixing.fit_mix(docs, none, mixing.DOMAIN)
     assert fitted.model.names == ["all"] and {r.copies for r in fitted.rates(fitted.members, "id").collect()} == {1}
     assert mixing.fit_mix(docs.limit(0), none, mixing.DOMAIN).members.count() == 0
-    assert mixing.fit_mix(docs, none, mixing.DOMAIN, boost={"good": 2.0}).repeated(docs).count() == 2
+    assert mixing.fit_mix(docs, none, mixing.DOMAIN, boost={"good": 2.0}, whole_rows=True).repeated().count() == 2
+    twice = spark.createDataFrame([(1, "a b", 5, 1.0), (1, "a b", 5, 1.0), (None, "漢字 x", 6, 2.0)], "doc_id long, text string, tokens int, rate double")
+    fitted = mixing.fit_mix(twice, none, mixing.DOMAIN, least=1.0, whole_rows=True)
+    rated = fitted.rates(fitted.members, "id").collect()
+    assert sorted((r.id or 0, r.tokens, r.copies) for r in rated) == [(0, 4, 1), (1, 2, 1), (1, 2, 1)]
+    assert sorted(map(tuple, fitted.repeated().collect()), key=str) == sorted(map(tuple, twice.collect()), key=str)
+
+
+def test_tokens_are_words():
+    assert [mixing.tokens_in(t) for t in ("", "  ", "a  b", "a\tb\n\nc", "x" * 999, "é ü")] == [0, 0, 2, 3, 1, 2]
+
+
+def test_targets_out_of_reach_are_told(spark):
+    docs = spark.createDataFrame([(i, "same words") for i in range(20)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(20)], "doc_id long, quality int, toxic int")
+    with pytest.warns(UserWarning, match="misses its targets"):
+        assert mixing.fit_mix(docs, labels, mixing.DOMAIN, weights={"good": 0.9, "poor": 0.1}).residual > 0.3
 
 
 # -- BPE --------------------------------------------------------------------------------------
@@ -371,4 +387,41 @@ def test_pipeline(spark, tiktoken_encoding):
     assert set(d) == set(c) and len(d) >= len(c)
     last = out.collect()
     assert len(last) == len(d) and all(r.ids == tiktoken_encoding.encode_ordinary(texts[r.doc_id]) for r in last)
-    assert hashlib.sha256(b"x").hexdigest()
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_stages_on_odd_tables(spark):
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, id string, tokens long, copies int, kept boolean, node string"
+    prose = [r.text for r in table(spark, SF, "documents").filter("lang = 'en'").orderBy("doc_id").limit(40).collect()]
+    odd = [(None, None), (1, ""), (2, None), (3, "!!! 12"), (4, "x" * 100_000), (5, prose[0] + " " + prose[1]), (5, prose[0] + " " + prose[1]), (5, prose[2] * 30), (None, prose[3])]
+    rows = [(i, t, "en" if i else None, None, 7, "a", 1, 2, True, "n") for i, t in [*odd, *enumerate(prose, 100)]]
+    docs = spark.createDataFrame(rows, schema).repartition(3)
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES:
+        for df in (docs.limit(0), docs):
+            out = stage(spark, df, SF)
+            got = out.collect()
+            assert not got if df is not docs else got, name
+            assert name == corpus_pipeline.STAGES[-1][0] or out.columns == docs.columns
+        kept[name] = got
+    texts = lambda name: [r.text for r in kept[name]]
+    assert not {None, "", "!!! 12"} & set(texts("language ID")) and prose[5] in texts("language ID")
+    assert sorted(texts("exact dedup"), key=str) == sorted({(r[1] or "") for r in rows} - {""} | {next(t for t in texts("exact dedup") if not t)}, key=str)
+    assert {t or "" for t in texts("n-gram Jaccard join")} >= {"", "!!! 12", prose[5]}
+    assert {str(tuple(r)) for r in kept["mixing to target weights"]} == {str(r) for r in rows}
+    assert len(kept["byte-level BPE"]) == len(rows)
+
+
+def test_scratch_tables_go(spark):
+    from pathlib import Path
+
+    from tessera.llm.common import scratch, shared_dir, written
+
+    here = Path(shared_dir(spark).removeprefix("file://").removeprefix("file:")) / "tessera"
+    with scratch(spark):
+        written(spark.range(3), "probe-inner")
+        kept = written(spark.range(4), "probe-kept", keep=True)
+        assert list(here.glob("probe-inner-*"))
+    assert not list(here.glob("probe-inner-*")) and kept.count() == 4

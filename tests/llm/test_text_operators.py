@@ -111,6 +111,8 @@ def test_languages(spark):
     assert sum(got[i]["lang_pred"] == k for i, _, k, _ in held) >= 0.97 * len(held)
     assert [got[i]["lang_pred"] for i in (900, 901, 902)] == ["und"] * 3 and all(got[i]["rejected"] and got[i]["score"] == 0 for i in (900, 901, 902))
     assert got[903]["lang_pred"] == "aa" and all(0 <= r["score"] <= 1 for r in got.values())
+    marks = spark.createDataFrame([(1, "½ ²"), (2, "Ⅷ ٣ _"), (3, "á")], "doc_id long, text string")
+    assert [r["lang_pred"] == "und" for _, r in sorted(rows_of(language_id.identify(marks, known)).items())] == [True, True, False]
     assert language_id.learn(docs, F.lit(False)) == [] and {r.lang_pred for r in language_id.identify(docs, []).collect()} == {"und"}
     assert language_id.identify(docs.limit(0), known).count() == 0
 
@@ -157,6 +159,7 @@ def test_toxicity(spark):
     assert sum(got[i]["predicted"] == y for i, _, y in held) >= 0.95 * len(held)
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in got.values())
     assert got[903]["predicted"] == 1 and got[900]["score"] == got[901]["score"] and got[902]["predicted"] == 0
+    assert toxicity.score(docs.limit(0), model).count() == 0
     none = toxicity.fit(docs, labels.limit(0), F.lit(True))
     assert {r.score for r in toxicity.score(docs, none).collect()} == {0.0}
     one = toxicity.fit(docs, labels.filter("toxic = 1"), F.lit(True))
@@ -335,10 +338,12 @@ def test_rules_with_several_names(spark):
 def test_rules(spark):
     texts = {
         1: "// SPDX-License-Identifier: Apache-2.0\n", 2: "Licensed under the Apache License, Version 2.0.", 3: "released under the terms of the GNU General Public License, version 3 or later", 4: "See https://opensource.org/licenses/MIT for details",
+        10: "SPDX-License-Identifier: MIT OR Apache-2.0", 11: "SPDX-License-Identifier: (MIT AND BSD-3-Clause)", 12: "spdx-license-identifier: GPL-2.0-only WITH Classpath-exception-2.0",
+        13: "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files",
         5: "CC BY-NC-SA 4.0", 6: "Copyright (c) 2020 Someone. All rights reserved.", 7: "Copyright (c) 2020, 3-Clause BSD License", 8: "mit dem Auto", 9: "GNU Lesser\n  General Public License v2.1",
     }
     got = rows_of(license_scan.scan(spark.createDataFrame(list(texts.items()), "doc_id long, text string")))
-    assert {i: got[i]["labels"] for i in texts} == {1: "apache-2.0", 2: "apache,apache-2.0", 3: "gpl,gpl-3.0", 4: "mit", 5: "cc-by-nc-sa-4.0", 6: "all-rights-reserved,copyright-notice", 7: "bsd-3-clause", 8: "", 9: "gpl,lgpl-2.1"}
+    assert {i: got[i]["labels"] for i in texts} == {1: "apache-2.0", 2: "apache,apache-2.0", 3: "gpl,gpl-3.0", 4: "mit", 5: "cc-by-nc-sa-4.0", 6: "all-rights-reserved,copyright-notice", 7: "bsd-3-clause", 8: "", 9: "gpl,lgpl-2.1", 10: "apache-2.0,mit", 11: "bsd-3-clause,mit", 12: "gpl-2.0", 13: "mit"}
     assert [h.asDict() for h in got[2]["hits"]] == [{"label": "apache-2.0", "start": 0, "end": 46}]
     assert got[1]["score"] == 1.0 and got[6]["score"] == 0.5 and got[8]["score"] == 0.0
     assert len(license_scan.rules()) > 250 and license_scan.scan(spark.createDataFrame([], "doc_id long, text string, labels string")).count() == 0
