@@ -7,7 +7,8 @@ deleted. A 64-bit hash of those bytes is a text's key. All steps are DataFrame o
 2. *Directory.* It starts as one bucket, the whole range of keys. A bucket whose different keys hold more
    than ``capacity`` bytes is split on its next bit; if it was as deep as the directory, the directory
    doubles. Splits go on, to the last bit, until no bucket with more than one key is overfull. Keys are
-   counted for a few more bits at a time, and then only those in overfull buckets. The capacity grows with the
+   counted for a few more bits at a time, and then only those in overfull buckets. The capacity is lowered while
+   there are fewer buckets than owners could work on, and grows with the
    input beyond ``buckets`` buckets, which bounds the directory that is broadcast.
 3. *Owners.* Texts go to the owner of their key's bucket, by a look into the directory. An owner sorts
    its range of keys, compares the bytes of texts with equal keys, makes one entry of those that are the
@@ -38,6 +39,8 @@ SPACES = " \t\n\x0b\x0c\r"
 STEP = "36893488147419103232"
 #: Bytes that an entry takes besides its text.
 ENTRY = 100
+#: Bytes below which no bucket is split for the sake of more owners.
+LEAST_CAPACITY = 1 << 16
 #: Rows to drop that may be broadcast.
 BROADCAST_ROWS = 1_000_000
 
@@ -116,7 +119,9 @@ class Directory:
 def grow(keys: DataFrame, capacity: int, buckets: int, step: int = 8) -> Directory:
     """The directory for (key, size), one row for each different key."""
     total, n = keys.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
-    made = Directory(max(capacity, total // buckets))
+    # enough buckets to keep all owners busy, not more than the directory may have
+    busy = max(LEAST_CAPACITY, total // (8 * shuffle_partitions(keys.sparkSession)))
+    made = Directory(max(min(capacity, busy), total // buckets))
     signed = lambda p, bits: p - (1 << 64) if bits == 64 and p >= 1 << 63 else p
     bits, open_buckets, rows = 0, [Bucket(0, 0, total, n)], keys
     open_buckets = made.insert(open_buckets[0], {}, 0)
