@@ -19,8 +19,8 @@ The merge table has every pair of tokens whose bytes together are a token, with
 is a token stands for itself, as the tiktoken library has it.
 
 Vocabulary and merges are broadcast: they are as large as the vocabulary file, not as the data. A
-task works on about GROUP characters of text at a time, hands DuckDB words of CHUNK bytes at a time
-(a longer word alone) and forgets its words beyond CACHE, so its memory does not grow with a
+task works on about GROUP characters of text at a time, hands DuckDB words of CHUNK bytes at a time,
+long pieces LONG_CHUNK bytes at a time (a longer one alone), and forgets its words beyond CACHE, so its memory does not grow with a
 partition; one text at a time is held whole. DuckDB has no folder to spill to. A null text counts as
 empty: no ids, no bytes. Rows are independent, so repeated rows get equal answers; an empty table
 gives an empty one. Columns of docs are passed on, and their own columns named ids or decoded are replaced.
@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from .common import table, tidy
 
-GROUP, CACHE, LONG, CHUNK = 1_500_000, 250_000, 512, 400_000
+GROUP, CACHE, LONG, CHUNK, LONG_CHUNK = 1_500_000, 250_000, 512, 1_000_000, 200_000
 
 #: State: a row for each token of a piece, with its position and the next token's position and id.
 CONTRACT = """
@@ -127,7 +127,7 @@ class Encoder:
             self.touch[b[:-1], b[1:]] = True
         self.known: dict[str, bytes] = {}  # ids as 32-bit numbers
         self.decoded: dict[str, bytes] = {}  # and what they decode to
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "256MB", "temp_directory": ""})
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "1GB", "temp_directory": ""})
         for name, cols in (("merges", dict(zip(("a", "b", "rank"), merges, strict=True))), ("vocabulary", {"id": np.array(list(self.tokens), np.int32), "hex": [t.hex() for t in self.tokens.values()]})):
             self.db.register("given", pa.table(cols))
             self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
@@ -160,7 +160,12 @@ class Encoder:
         size = np.bincount(piece)[piece]
         after, next_id = np.where(last, -1, pos + 1).astype(np.int32), np.where(last, -1, np.append(ids[1:], -1)).astype(np.int32)
         made = [(pos[size == 1], ids[size == 1])]
-        for those, query in (((size > 1) & (size <= LONG), CONTRACT), (size > LONG, CONTRACT_LONG)):
+        lots = [((size > 1) & (size <= LONG), CONTRACT)]
+        if (long := np.flatnonzero(size > LONG)).size:  # these take more memory: fewer at a time, a longer piece alone
+            new = np.flatnonzero(np.append(True, piece[long[1:]] != piece[long[:-1]]))
+            lot = np.repeat(new // LONG_CHUNK, np.diff(np.append(new, len(long))))
+            lots += [(long[lot == k], CONTRACT_LONG) for k in np.unique(lot)]
+        for those, query in lots:
             if those.any():
                 self.db.register("parts", pa.table({"piece": piece[those], "pos": pos[those], "id": ids[those], "next_pos": after[those], "next_id": next_id[those]}))
                 got = self.db.execute(query).fetchnumpy()
