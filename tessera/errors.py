@@ -84,3 +84,7 @@ class ReadOnly(TesseraError):
 
 class Unsupported(TesseraError):
     text = "unsupported statement"
+
+
+class Busy(TesseraError):
+    text = "another writer holds the database"

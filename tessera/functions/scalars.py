@@ -5,7 +5,7 @@ from __future__ import annotations
 import contextlib
 import threading
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +15,8 @@ from ..plans import nodes as n
 from ..plans.kinds import Kind, kind_of
 
 DIVISION = "tessera: division by zero"
+#: Levels of a column's tree that Spark's recursion stands.
+DEEPEST = 120
 OPS = {"=": "__eq__", "!=": "__ne__", "<>": "__ne__", "<": "__lt__", "<=": "__le__", ">": "__gt__", ">=": "__ge__", "+": "__add__", "-": "__sub__", "*": "__mul__"}
 
 
@@ -40,6 +42,7 @@ class Typed:
     col: Column
     kind: Kind
     literal: bool = False
+    depth: int = 1  # levels of the column's tree
 
     def to(self, kind: Kind) -> Column:
         return self.col if kind == self.kind else self.col.cast(kind.spark)
@@ -129,8 +132,73 @@ def like(a: Typed, p: Typed, pattern: n.Expr) -> Column:
 
 
 def compiled(e: n.Expr, scope: Scope) -> Typed:
-    if (known := scope.exprs.get(str(e))) is not None:
+    """The column of an expression. Chains of AND, OR and of integer sums become flat trees, and pairs of NOT
+    or of signs vanish; what is deeper still than Spark's own recursion allows is refused."""
+    if scope.exprs and (known := scope.exprs.get(str(e))) is not None:
         return known
+    found = built(e, scope)
+    if found.depth > DEEPEST:
+        raise Unsupported(f"an expression of more than {DEEPEST} nested operations")
+    return found
+
+
+def chain(e: n.Binary, scope: Scope) -> list[n.Expr]:
+    """The operands of a chain of AND or of OR, from left to right; whole expressions that have columns stay whole."""
+    out, todo = [], [e]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, n.Binary) and x.op == e.op and not (scope.exprs and str(x) in scope.exprs):
+            todo += [x.right, x.left]
+        else:
+            out.append(x)
+    return out
+
+
+def added(e: n.Binary, scope: Scope) -> Typed:
+    """A chain to the left of sums and differences, or of products. Integers wrap, so theirs may be joined in
+    any order; others are joined from left to right."""
+    alike, steps, x = ("*",) if e.op == "*" else ("+", "-"), [], e
+    while isinstance(x, n.Binary) and x.op in alike and not (steps and scope.exprs and str(x) in scope.exprs):
+        steps.append((x.op, x.right))
+        x = x.left
+    first, rest = compiled(x, scope), [(op, compiled(y, scope)) for op, y in reversed(steps)]
+    if all(t.kind == Kind.INT for t in (first, *(t for _, t in rest))):
+        columns = [(first.col, first.depth), *((-t.col if op == "-" else t.col, t.depth + 1) for op, t in rest)]
+        col, depth = balanced(columns, Column.__mul__ if e.op == "*" else Column.__add__)
+        return Typed(col, Kind.INT, depth=depth)
+    out = first
+    for op, t in rest:
+        out = replace(arithmetic(op, out, t), depth=1 + max(out.depth, t.depth))
+        if out.depth > DEEPEST:
+            break
+    return out
+
+
+def balanced(columns: list[tuple[Column, int]], join) -> tuple[Column, int]:
+    """Neighbours joined in pairs, pairs in pairs and so on: a tree as deep as the logarithm of the chain."""
+    while len(columns) > 1:
+        pairs = [columns[i : i + 2] for i in range(0, len(columns), 2)]
+        columns = [(join(p[0][0], p[1][0]), 1 + max(p[0][1], p[1][1])) if len(p) == 2 else p[0] for p in pairs]
+    return columns[0]
+
+
+def signed(e: n.Unary, scope: Scope) -> Typed:
+    """A chain of NOT or of minus signs: two of them are none, but operands are still checked."""
+    op, times, x = e.op, 0, e
+    while isinstance(x, n.Unary) and x.op == op and not (times and scope.exprs and str(x) in scope.exprs):
+        x, times = x.expr, times + 1
+    t = compiled(x, scope)
+    if op == "NOT":
+        c = condition(t)
+        return Typed(~c if times % 2 else c, Kind.BOOL, depth=t.depth + 1)
+    if t.kind == Kind.NULL:
+        return t
+    if not t.kind.numeric:
+        raise TypeMismatch(f"- wants a number, found {t.kind.value}")
+    return Typed(-t.col if times % 2 else t.col, t.kind, depth=t.depth + 1)
+
+
+def built(e: n.Expr, scope: Scope) -> Typed:
     match e:
         case n.Literal(value):
             return constant(value)
@@ -138,44 +206,47 @@ def compiled(e: n.Expr, scope: Scope) -> Typed:
             return scope.of(e)
         case n.Aggregate():
             raise PlanError(f"aggregate {e} is not allowed here")
-        case n.Unary("NOT", x):
-            return Typed(~condition(compiled(x, scope)), Kind.BOOL)
-        case n.Unary(_, x):
-            t = compiled(x, scope)
-            if t.kind == Kind.NULL:
-                return t
-            if not t.kind.numeric:
-                raise TypeMismatch(f"- wants a number, found {t.kind.value}")
-            return Typed(-t.col, t.kind)
-        case n.Binary("AND", a, b):
-            return Typed(condition(compiled(a, scope)) & condition(compiled(b, scope)), Kind.BOOL)
-        case n.Binary("OR", a, b):
-            return Typed(condition(compiled(a, scope)) | condition(compiled(b, scope)), Kind.BOOL)
-        case n.Binary(op, a, b):
-            x, y = compiled(a, scope), compiled(b, scope)
-            return arithmetic(op, x, y) if op in "+-*/%" else Typed(compare(op, x, y), Kind.BOOL)
+        case n.Unary():
+            return signed(e, scope)
+        case n.Binary("AND" | "OR" as op, _, _):
+            parts = [compiled(x, scope) for x in chain(e, scope)]
+            col, depth = balanced([(condition(t), t.depth) for t in parts], Column.__and__ if op == "AND" else Column.__or__)
+            return Typed(col, Kind.BOOL, depth=depth)
+        case n.Binary("+" | "-" | "*", _, _):
+            return added(e, scope)
+        case n.Binary():
+            return pair(e, scope)
         case n.IsNull(x, negated):
             t = compiled(x, scope)
-            return Typed(t.col.isNotNull() if negated else t.col.isNull(), Kind.BOOL)
+            return Typed(t.col.isNotNull() if negated else t.col.isNull(), Kind.BOOL, depth=t.depth + 1)
     t = compiled(e.expr, scope)
+    depth = t.depth
     match e:
         case n.Between(low=low, high=high):
-            out = compare(">=", t, compiled(low, scope)) & compare("<=", t, compiled(high, scope))
+            lo, hi = compiled(low, scope), compiled(high, scope)
+            depth = max(depth, lo.depth, hi.depth)
+            out = compare(">=", t, lo) & compare("<=", t, hi)
         case n.In(items=items):
-            out = member(t, items, scope)
+            out, most = member(t, items, scope)
+            depth = max(depth, most)
         case n.Like(pattern=p):
-            out = like(t, compiled(p, scope), p)
+            q = compiled(p, scope)
+            depth = max(depth, q.depth)
+            out = like(t, q, p)
         case _:
             raise Unsupported(str(e))
-    return Typed(~out if e.negated else out, Kind.BOOL)
+    return Typed(~out if e.negated else out, Kind.BOOL, depth=depth + 2)
 
 
-def member(t: Typed, items: tuple[n.Expr, ...], scope: Scope) -> Column:
+def pair(e: n.Binary, scope: Scope) -> Typed:
+    x, y = compiled(e.left, scope), compiled(e.right, scope)
+    out = arithmetic(e.op, x, y) if e.op in "+-*/%" else Typed(compare(e.op, x, y), Kind.BOOL)
+    return replace(out, depth=1 + max(x.depth, y.depth))
+
+
+def member(t: Typed, items: tuple[n.Expr, ...], scope: Scope) -> tuple[Column, int]:
     """An OR of equalities; literals of one kind become a set, which scans can prune by."""
     if t.kind != Kind.NULL and all(isinstance(x, n.Literal) and kind_of(x.value) == t.kind for x in items):
-        return t.col.isin(*(F.lit(x.value).cast(t.kind.spark) for x in items))
-    found = [compare("=", t, compiled(x, scope)) for x in items]
-    out = found[0]
-    for x in found[1:]:
-        out = out | x
-    return out
+        return t.col.isin(*(F.lit(x.value).cast(t.kind.spark) for x in items)), 1
+    found = [(y := compiled(x, scope)) and (compare("=", t, y), y.depth) for x in items]
+    return balanced(found, Column.__or__)

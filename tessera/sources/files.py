@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import SparkSession
 
 
@@ -37,6 +39,23 @@ class Files:
         how[0] = rename.OVERWRITE
         self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(fresh.toUri(), self.conf).rename(fresh, self.path(name), how)
 
+    def claim(self, name: str) -> bool:
+        """Makes an empty file, if none is there."""
+        try:
+            self.fs.create(self.path(name), False).close()
+        except Exception as e:  # noqa: BLE001
+            if self.exists(name) or "AlreadyExists" in str(e):
+                return False
+            raise
+        return True
+
+    def age(self, name: str) -> float:
+        """Seconds since a file was written; 0 if it is not there."""
+        try:
+            return time.time() - self.fs.getFileStatus(self.path(name)).getModificationTime() / 1000
+        except Exception:  # noqa: BLE001
+            return 0.0
+
     def make(self, name: str) -> None:
         self.fs.mkdirs(self.path(name))
 

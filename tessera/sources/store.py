@@ -1,7 +1,9 @@
 """Versioned Parquet tables.
 
 A database is a folder: ``manifest.json`` says which data files make up each table, and is replaced
-as a whole, so a commit happens entirely or not at all. Data files are never changed; a version is
+as a whole, so a commit happens entirely or not at all. Writers of all processes take turns by a
+lock file and build on the newest manifest. On a store whose rename is no single step, a reader may see
+no manifest for a moment; the lock holds there too if files can be made only where there is none. Data files are never changed; a version is
 a list of them. A reader keeps the list it began with, so later commits do not disturb it.
 
 A statement's changes are a *delta*: rows keyed by primary key, with a mark on deleted ones. To
@@ -11,18 +13,24 @@ scans skip row groups. Indexes are nothing but these hints: results never depend
 
 from __future__ import annotations
 
+import contextlib
+import time
 import uuid
+from collections.abc import Iterator
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..errors import Busy
 from .catalog import Catalog, Entry
 from .files import Files
 from .tables import Table, physical_schema
 
-MANIFEST = "manifest.json"
+MANIFEST, LOCK = "manifest.json", "manifest.lock"
+#: Seconds that a writer waits for another, and after which a claim counts as left behind.
+LOCK_WAIT, LOCK_LIFE = 300, 1800
 DELETED = "deleted"
 
 
@@ -30,9 +38,41 @@ class Store:
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.files = spark, Files(spark, root)
         self.files.make("data")
-        self.catalog = Catalog.loaded(self.files.read(MANIFEST)) if self.files.exists(MANIFEST) else Catalog()
+        self.catalog, self.held = Catalog(), 0
+        self.refresh()
+
+    def refresh(self) -> Catalog:
+        """The newest version, which another database on the folder may have published."""
+        if self.files.exists(MANIFEST):
+            self.catalog = Catalog.loaded(self.files.read(MANIFEST))
+        return self.catalog
+
+    @contextlib.contextmanager
+    def exclusive(self) -> Iterator[None]:
+        """One writer at a time, in whatever process: what is published inside follows the newest version.
+        A claim that outlives its writer is broken after LOCK_LIFE seconds."""
+        if not self.held:
+            end = time.monotonic() + LOCK_WAIT
+            while not self.files.claim(LOCK):
+                if self.files.age(LOCK) > LOCK_LIFE:
+                    self.files.drop(LOCK)
+                elif time.monotonic() > end:
+                    raise Busy(self.files.root)
+                else:
+                    time.sleep(0.02)
+            self.refresh()
+        self.held += 1
+        try:
+            yield
+        finally:
+            self.held -= 1
+            if not self.held:
+                self.files.drop(LOCK)
 
     def publish(self, catalog: Catalog) -> None:
+        """Inside `exclusive`: the next version, built on the one that was read there."""
+        if self.files.exists(MANIFEST) and Catalog.loaded(self.files.read(MANIFEST)).version != self.catalog.version:
+            raise Busy(self.files.root)  # this writer's claim was broken meanwhile
         catalog = replace(catalog, version=self.catalog.version + 1)
         self.files.replace(MANIFEST, catalog.dumped())
         self.catalog = catalog
@@ -85,6 +125,10 @@ class Store:
         found = rows.select(F.input_file_name().alias("file")).distinct().collect()
         return {"/".join(r[0].split("/")[-2:]) for r in found}
 
+    def indexed(self, entry: Entry) -> Entry:
+        """The same rows in files that have the Bloom filters of all indexes."""
+        return replace(entry, files=self.write(self.rows(entry), entry)) if entry.files else entry
+
     def compacted(self, entry: Entry) -> Entry:
         """The same rows in fewer files, in ranges of the primary key, so that scans skip most of them."""
         if len(entry.files) < 2:
