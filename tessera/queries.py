@@ -8,6 +8,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .errors import TesseraError
+from .formatting import format_table
+from .plans.grammar import parse
 from .session import Database
 
 KEYS = {"region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey", "orders": "o_orderkey", "lineitem": None, "events": "event_id"}
@@ -68,6 +71,13 @@ READS: dict[str, tuple[str, str | None]] = {
     "group_limit_key_order": ("SELECT o_custkey, COUNT(*) AS n FROM orders GROUP BY o_custkey LIMIT 5", "SELECT o_custkey, COUNT(*) AS n FROM orders GROUP BY o_custkey ORDER BY o_custkey LIMIT 5"),
     "group_no_agg": ("SELECT event_type FROM events GROUP BY event_type", SAME),
     "group_distinct": ("SELECT DISTINCT COUNT(*) AS n FROM orders GROUP BY o_orderstatus", SAME),
+    "qualified_names": ("SELECT orders.o_orderkey, orders.o_custkey AS c FROM orders WHERE orders.o_custkey < 100 ORDER BY orders.o_orderkey", 'SELECT o_orderkey AS "orders.o_orderkey", o_custkey AS c FROM orders WHERE o_custkey < 100'),
+    "double_equals": ("SELECT p_partkey FROM part WHERE p_size == 7", SAME),
+    "unary_plus": ("SELECT o_orderkey, +o_custkey AS c, - -o_custkey AS d FROM orders WHERE +o_orderkey < 50", SAME),
+    "not_in_with_null": ("SELECT p_partkey FROM part WHERE p_size NOT IN (1, NULL)", SAME),
+    "in_with_null_as_value": ("SELECT p_partkey, p_size IN (1, NULL) AS found, p_size NOT IN (1, NULL) AS missing FROM part", SAME),
+    "many_conditions": ("SELECT p_partkey FROM part WHERE " + " OR ".join(f"p_partkey = {i}" for i in range(0, 900, 2)), SAME),
+    "nested_deeply": ("SELECT p_partkey FROM part WHERE " + "(" * 500 + "p_size > 40" + ")" * 500 + " AND " + "NOT " * 501 + "p_size > 45", "SELECT p_partkey FROM part WHERE p_size > 40 AND NOT p_size > 45"),
     "explain_topn": ("EXPLAIN SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC LIMIT 3", None),
 }
 
@@ -94,6 +104,12 @@ STORED: dict[str, tuple[str, str]] = {
     "delete_where": ("DELETE FROM nk WHERE k >= 3; SELECT id, k FROM nk", "SELECT id, k FROM NK WHERE NOT coalesce(k>=3,false)"),
     "tx_rollback": ("BEGIN; DELETE FROM nk; ROLLBACK; SELECT id, k FROM nk", "SELECT id, k FROM NK"),
     "tx_commit": ("BEGIN; DELETE FROM nk WHERE id < 20; COMMIT; SELECT id, k FROM nk", "SELECT id, k FROM NK WHERE id >= 20"),
+    "like_backslash": (r"INSERT INTO nk VALUES (200, 'a\\b%c', 1), (201, 'axb%c', 2); SELECT id FROM nk WHERE name LIKE 'a\\b%'", r"SELECT 200::BIGINT AS id"),
+    "key_moves_onto_freed_keys": ("UPDATE nk SET id = id + 1 WHERE id = 24; UPDATE nk SET id = 24 WHERE id = 3; SELECT id, name FROM nk WHERE id > 20", "SELECT CASE id WHEN 24 THEN 25 WHEN 3 THEN 24 ELSE id END AS id, name FROM NK WHERE id > 20 OR id = 3"),
+    "delete_range": ("DELETE FROM nk WHERE id BETWEEN 5 AND 19; SELECT id, name, k FROM nk", "SELECT id, name, k FROM NK WHERE NOT id BETWEEN 5 AND 19"),
+    "create_table": ("CREATE TABLE IF NOT EXISTS made (id INT PRIMARY KEY, word TEXT NOT NULL, x FLOAT, yes BOOL); CREATE TABLE IF NOT EXISTS made (id INT PRIMARY KEY); INSERT INTO made VALUES (2, 'b', 0.5, TRUE), (1, 'a', NULL, NULL); SELECT * FROM made", "SELECT * FROM (VALUES (1::BIGINT, 'a', NULL::DOUBLE, NULL::BOOLEAN), (2, 'b', 0.5, true)) AS v(id, word, x, yes)"),
+    "drop_table": ("CREATE TABLE made (id INT PRIMARY KEY, old TEXT); INSERT INTO made VALUES (1, 'old'); DROP TABLE made; DROP TABLE IF EXISTS made; CREATE TABLE made (id INT PRIMARY KEY, fresh INT); SELECT * FROM made", "SELECT 1::BIGINT AS id, 1::BIGINT AS fresh WHERE false"),
+    "drop_index": ("DROP INDEX nk_k; DROP INDEX IF EXISTS nk_k; CREATE INDEX IF NOT EXISTS nk_name ON nk (name); SELECT id FROM nk WHERE k = 1 AND name > 'B'", "SELECT id FROM NK WHERE k = 1 AND name > 'B'"),
     "tx_own_writes": ("BEGIN; DELETE FROM nk WHERE id < 20; INSERT INTO nk VALUES (50, 'n', 1); SELECT id, k FROM nk", "SELECT id, k FROM NK WHERE id >= 20 UNION ALL VALUES (50, 1)"),
 }
 
@@ -148,10 +164,139 @@ def stored(name: str) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
+def failure(run: Callable[[], object]) -> str:
+    """What an error says, by its kind."""
+    try:
+        run()
+    except TesseraError as e:
+        return type(e).__name__
+    return "none"
+
+
+def snapshot(db: Database) -> list[tuple]:
+    """A transaction sees the rows it began with, whatever others commit, and then those too."""
+    conn = db.conn()
+    conn.exec("BEGIN")
+    count = lambda c: c.exec("SELECT COUNT(*) FROM nk").rows[0][0]
+    first = count(conn)
+    db.exec("DELETE FROM nk WHERE id < 10")
+    during, others = count(conn), count(db)
+    conn.exec("COMMIT")
+    return [("first", first), ("during", during), ("others", others), ("after", count(conn))]
+
+
+def sessions(db: Database) -> list[tuple]:
+    """Open transactions of two sessions don't see each other; both commits hold."""
+    a, b = db.conn(), db.conn()
+    for c, key in ((a, 300), (b, 301)):
+        c.exec("BEGIN")
+        c.exec(f"INSERT INTO nk VALUES ({key}, 'new', 1)")
+    new = lambda c: c.exec("SELECT COUNT(*) FROM nk WHERE id >= 300").rows[0][0]
+    seen = [("a", new(a)), ("b", new(b)), ("neither", new(db))]
+    a.exec("COMMIT")
+    b.exec("COMMIT")
+    return [*seen, ("both", new(db))]
+
+
+def constraints(db: Database) -> list[tuple]:
+    tries = {
+        "repeated key": "INSERT INTO nk VALUES (500, 'x', 1), (500, 'y', 1)", "present key": "INSERT INTO nk VALUES (0, 'x', 1)", "null key": "INSERT INTO nk VALUES (NULL, 'x', 1)",
+        "moved onto a key": "UPDATE nk SET id = 1 WHERE id = 2", "wrong kind": "INSERT INTO nk VALUES (501, 7, 1)", "no column": "UPDATE nk SET nosuch = 1", "divided by zero": "UPDATE nk SET k = 1 / (id - 7)",
+    }
+    return [(k, failure(lambda text=text: db.exec(text))) for k, text in tries.items()] + [("rows after", str(db.exec("SELECT COUNT(*) FROM nk WHERE id < 25").rows[0][0]))]
+
+
+def legality(db: Database) -> list[tuple]:
+    tries = {"ungrouped": "SELECT name, COUNT(*) FROM nk", "not the group": "SELECT id FROM nk GROUP BY k", "order": "SELECT k FROM nk GROUP BY k ORDER BY name", "group expression": "SELECT k + 1 FROM nk GROUP BY k + 1", "star": "SELECT * FROM nk GROUP BY k", "other table": "SELECT t.id FROM nk", "kinds": "SELECT id FROM nk WHERE name > 1"}
+    return [(k, failure(lambda text=text: db.sql(text))) for k, text in tries.items()]
+
+
+def in_transaction(db: Database) -> list[tuple]:
+    conn = db.conn()
+    conn.exec("BEGIN")
+    out = [(text.split(" (")[0], failure(lambda text=text: conn.exec(text))) for text in ("CREATE TABLE z (id INT PRIMARY KEY)", "DROP TABLE nk", "CREATE INDEX i ON nk (name)", "DROP INDEX nk_k", "BEGIN")]
+    conn.exec("INSERT INTO nk VALUES (600, 'kept', 2)")
+    failed = failure(lambda: conn.exec("INSERT INTO nk VALUES (601, 'lost', 2), (600, 'again', 2)"))
+    conn.exec("COMMIT")
+    return [*out, ("half a statement", failed), ("rows", str(db.exec("SELECT COUNT(*) FROM nk WHERE id >= 600").rows[0][0])), ("COMMIT", failure(lambda: conn.exec("COMMIT")))]
+
+
+def script(db: Database) -> list[tuple]:
+    """Tags and counts of a script up to its error."""
+    try:
+        db.exec_script("INSERT INTO nk VALUES (400, 'a', 1); UPDATE nk SET k = 2 WHERE id = 400;; DELETE FROM nk WHERE id >= 399; SELECT nosuch FROM nk; DELETE FROM nk")
+    except TesseraError as e:
+        return [(i, r.tag, r.affected) for i, r in enumerate(e.results)] + [(len(e.results), type(e).__name__, db.exec("SELECT COUNT(*) FROM nk").rows[0][0])]
+
+
+def parsed_before(db: Database) -> list[tuple]:
+    """Statements that were parsed once and run twice."""
+    conn, s = db.conn(), parse("UPDATE nk SET k = k + 1 WHERE id = 1")
+    return [(i, conn.run_statement(s).affected, conn.run_statement(parse("SELECT k FROM nk WHERE id = 1")).rows[0][0]) for i in range(2)]
+
+
+def cursor(db: Database) -> list[tuple]:
+    """Rows read one by one, in order, on the snapshot that the query began with."""
+    rows = db.query("SELECT id, name FROM nk WHERE k = 1")
+    out = [rows.row()] if rows.next() else []
+    db.exec("DELETE FROM nk WHERE id > 0")
+    while rows.next():
+        out.append(rows.row())
+    rows.close()
+    return [(i, *r) for i, r in enumerate(out)]
+
+
+def schema_text(db: Database) -> list[tuple]:
+    """The statements that make a table make the same table elsewhere."""
+    text = db.catalog.get("nk").sql()
+    db.exec("DROP TABLE nk")
+    db.exec_script(text)
+    return [(i, line) for i, line in enumerate(text.splitlines())] + [(9, str(db.catalog.get("nk").sql() == text))]
+
+
+def table_text(db: Database) -> list[tuple]:
+    r = db.exec("SELECT id, name, k FROM nk WHERE id < 3 ORDER BY id DESC")
+    return list(enumerate(format_table(r.columns, r.rows).splitlines()))
+
+
+def frames(db: Database) -> list[tuple]:
+    """A DataFrame as a table: read like others, changed by none."""
+    db.register("few", db.spark.createDataFrame([(2, "b"), (1, "a"), (3, None)], "num long, word string"), "num")
+    return [(str(k), w) for k, w in db.exec("SELECT num, word FROM few WHERE word IS NULL OR num < 2").rows] + [("write", failure(lambda: db.exec("DELETE FROM few")))]
+
+
+def explained(db: Database) -> list[tuple]:
+    plan = db.exec("EXPLAIN SELECT id FROM nk WHERE id = 7").plan
+    return [("insert", db.exec("EXPLAIN INSERT INTO nk VALUES (900, 'x', 1), (901, 'y', 1)").plan), ("delete", db.exec("EXPLAIN DELETE FROM nk WHERE id = 1").plan.splitlines()[0]), ("pushed", str("EqualTo(id,7)" in plan or "PushedFilters" in plan)), ("rows", str(db.exec("SELECT COUNT(*) FROM nk").rows[0][0]))]
+
+
+#: What statements do besides returning rows: (run over a database with nk, the schema of its rows, the same in SQL).
+EFFECTS: dict[str, tuple[Callable[[Database], list[tuple]], str, str]] = {
+    "tx_snapshot": (snapshot, "step string, n long", "SELECT * FROM (VALUES ('first', (SELECT count(*) FROM NK)), ('during', (SELECT count(*) FROM NK)), ('others', (SELECT count(*) FROM NK WHERE id >= 10)), ('after', (SELECT count(*) FROM NK WHERE id >= 10))) AS v(step, n)"),
+    "tx_sessions": (sessions, "step string, n long", "SELECT * FROM (VALUES ('a', 1::BIGINT), ('b', 1), ('neither', 0), ('both', 2)) AS v(step, n)"),
+    "constraints": (constraints, "step string, error string", "SELECT * FROM (VALUES ('repeated key', 'DuplicateKey'), ('present key', 'DuplicateKey'), ('null key', 'NullKey'), ('moved onto a key', 'DuplicateKey'), ('wrong kind', 'TypeMismatch'), ('no column', 'ColumnNotFound'), ('divided by zero', 'DivideByZero'), ('rows after', (SELECT count(*)::VARCHAR FROM NK))) AS v(step, error)"),
+    "group_legality": (legality, "step string, error string", "SELECT * FROM (VALUES ('ungrouped', 'PlanError'), ('not the group', 'PlanError'), ('order', 'PlanError'), ('group expression', 'none'), ('star', 'PlanError'), ('other table', 'TableNotFound'), ('kinds', 'TypeMismatch')) AS v(step, error)"),
+    "tx_refuses_ddl": (in_transaction, "step string, error string", "SELECT * FROM (VALUES ('CREATE TABLE z', 'DDLInTransaction'), ('DROP TABLE nk', 'DDLInTransaction'), ('CREATE INDEX i ON nk', 'DDLInTransaction'), ('DROP INDEX nk_k', 'DDLInTransaction'), ('BEGIN', 'TransactionOpen'), ('half a statement', 'DuplicateKey'), ('rows', '1'), ('COMMIT', 'NoTransaction')) AS v(step, error)"),
+    "script_results": (script, "i int, tag string, n long", "SELECT * FROM (VALUES (0, 'INSERT', 1::BIGINT), (1, 'UPDATE', 1), (2, 'DELETE', 1), (3, 'ColumnNotFound', (SELECT count(*) FROM NK))) AS v(i, tag, n)"),
+    "parsed_statements": (parsed_before, "i int, affected long, k long", "SELECT i::INTEGER AS i, 1::BIGINT AS affected, k + i + 1 AS k FROM NK, range(2) AS r(i) WHERE id = 1"),
+    "cursor_rows": (cursor, "i int, id long, name string", "SELECT (row_number() OVER (ORDER BY id) - 1)::INTEGER AS i, id, name FROM NK WHERE k = 1"),
+    "schema_text": (schema_text, "i int, line string", "SELECT * FROM (VALUES (0, 'CREATE TABLE nk (id INT PRIMARY KEY, name TEXT, k INT);'), (1, 'CREATE INDEX nk_k ON nk (k);'), (9, 'True')) AS v(i, line)"),
+    "text_table": (table_text, "i int, line string", "WITH r AS (SELECT id, name, coalesce(k::VARCHAR, 'NULL') AS k FROM NK WHERE id < 3), w AS (SELECT greatest(max(length(name)), 4)::INTEGER AS a, greatest(max(length(k)), 1)::INTEGER AS b FROM r), rule AS (SELECT '+----+' || repeat('-', a + 2) || '+' || repeat('-', b + 2) || '+' AS line FROM w) SELECT 0 AS i, line FROM rule UNION ALL SELECT 1, '| id | ' || rpad('name', a, ' ') || ' | ' || rpad('k', b, ' ') || ' |' FROM w UNION ALL SELECT 2, line FROM rule UNION ALL SELECT (5 - id)::INTEGER, '| ' || rpad(id::VARCHAR, 2, ' ') || ' | ' || rpad(name, a, ' ') || ' | ' || rpad(k, b, ' ') || ' |' FROM r, w UNION ALL SELECT 6, line FROM rule"),
+    "register_frame": (frames, "num string, word string", "SELECT * FROM (VALUES ('1', 'a'), ('3', NULL), ('write', 'ReadOnly')) AS v(num, word)"),
+    "explain_changes": (explained, "step string, line string", "SELECT * FROM (VALUES ('insert', 'INSERT nk (2 rows)'), ('delete', 'DELETE nk'), ('pushed', 'True'), ('rows', (SELECT count(*)::VARCHAR FROM NK))) AS v(step, line)"),
+}
+
+
+def effect(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    run, schema, _ = EFFECTS[name]
+    return lambda spark, sf_dir: spark.createDataFrame(run(with_tables(spark, sf_dir, "nk")), schema)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: read(k) for k in READS} | {k: stored(k) for k in STORED}
+    return {k: read(k) for k in READS} | {k: stored(k) for k in STORED} | {k: effect(k) for k in EFFECTS}
 
 
 def oracle_sql() -> dict[str, str]:
     plain = {k: sql or text for k, (text, sql) in READS.items() if sql is not None}
-    return plain | {k: sql.replace("FROM NK", f"FROM {NK} AS nk") for k, (_, sql) in STORED.items()}
+    over_nk = {k: sql for k, (_, sql) in STORED.items()} | {k: sql for k, (*_, sql) in EFFECTS.items()}
+    return plain | {k: sql.replace("FROM NK", f"FROM {NK} AS nk") for k, sql in over_nk.items()}
