@@ -9,12 +9,12 @@ of three bytes) over all tails of the text that begin with a word, then by the f
 A document is rejected if its two smallest totals differ by a smaller share of the smallest than
 ``least``, or not at all, as is one without letters. Learning sets ``least`` by rows that are kept out of
 the dictionaries, and texts of random letters, in the frequencies of these
-rows, as long as the rows are. The share lies midway (as a factor) between what nearly all of the
-random texts stay below and what nearly all of the rows reach.
+rows, as long as the rows are. The share lies a little above what nearly all of the
+random texts stay below, and never above what nearly all of the rows reach.
 
 Learning reads a bounded, documented sample of rows, whole texts: for each language at most
 ``docs_per_language`` documents for its dictionary and ``judged`` more for the least margin, chosen by a hash
-of their id. Prediction reads whole texts. Languages are the labels found, which are few. Letters are the
+of their id, those of up to ``longest`` characters first, so that no few texts make up a dictionary. Prediction reads whole texts. Languages are the labels found, which are few. Letters are the
 characters of Unicode's categories L; all others part words.
 
 A null text or one without a letter is ``und`` with score 0; so is every text if no row has a
@@ -24,7 +24,6 @@ passed on; ones named lang_pred, score, margin or rejected are replaced.
 
 from __future__ import annotations
 
-import math
 import random
 import re
 from collections.abc import Iterator
@@ -53,6 +52,8 @@ NOT_LETTERS = not_letters()
 LEVEL, BLOCK = 9, 2048
 #: Rows that say something about the least margin have so many letters at least.
 LEAST_BYTES = 200
+#: The least margin, in terms of the largest margins of random texts: documents are kept rather than lost.
+NOISE = 1.2
 #: The least margin where learning rows say nothing about it.
 USUAL = 0.04
 OUT = "lang_pred string, score double, margin int, rejected boolean"
@@ -81,18 +82,18 @@ def least_margin(dictionaries: list[tuple[str, bytes]], rows: list[bytes]) -> fl
     share = lambda found: sorted(margin / size for margin, size in (judge.totals(folded(t))[1:] for t in found))
     clean, random_ones = share(texts), share(noise)
     low, high = clean[len(clean) // 100], random_ones[-1 - len(random_ones) // 100]
-    return math.sqrt(low * high) if low > high > 0 else min(low, USUAL)
+    return min(low, NOISE * high) if low > high > 0 else min(low, USUAL)
 
 
-def learn(docs: DataFrame, learn_rows: Column, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_language: int = 40, judged: int = 60) -> Dictionaries:
+def learn(docs: DataFrame, learn_rows: Column, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_language: int = 110, judged: int = 80, longest: int = 2_000) -> Dictionaries:
     """(language, dictionary) pairs, most frequent language first."""
     rows = docs.filter(learn_rows & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col), F.lit(7)).alias("h"), F.col(text_col).alias("part"))
     most = docs_per_language + judged
     often = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
-    # about twice as many as wanted, by hash, so that no language's rows meet in one task
-    share = F.create_map(*(x for k, v in often.items() for x in (F.lit(k), F.lit(min(1.0, 2 * most / v) * 1e6)))) if often else F.lit(None)
+    # some times as many as wanted, by hash, so that no language's rows meet in one task
+    share = F.create_map(*(x for k, v in often.items() for x in (F.lit(k), F.lit(min(1.0, 8 * most / v) * 1e6)))) if often else F.lit(None)
     some = rows.filter(F.pmod("h", F.lit(1_000_000)) < share[F.col("lang")]) if often else rows.limit(0)
-    first = F.row_number().over(Window.partitionBy("lang").orderBy("h", "part"))
+    first = F.row_number().over(Window.partitionBy("lang").orderBy(F.char_length("part") > longest, "h", "part"))
     picked: dict[str, list[tuple[int, bytes]]] = {}
     for lang, n, part in some.withColumn("n", first).filter(F.col("n") <= most).select("lang", "n", "part").collect():
         picked.setdefault(lang, []).append((n, folded(part)))
