@@ -224,3 +224,11 @@ def op10_byte_bpe(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = encode_decode(docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def bpe_round_trip(spark, sf_dir: str) -> DataFrame:
+    """What the ids of op10_byte_bpe decode to: the texts."""
+    return op10_byte_bpe(spark, sf_dir).select("doc_id", "decoded_sha256")
+
+
+ROUND_TRIP_SQL = "SELECT doc_id, sha256(coalesce(text, '')) AS decoded_sha256 FROM documents"

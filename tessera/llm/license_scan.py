@@ -232,3 +232,18 @@ def scan(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
 
 def op6_license_scan(spark, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text", "hits")
+
+
+def license_scan_base(spark, sf_dir: str) -> DataFrame:
+    """The base answers of op6_license_scan, which SQL can express."""
+    return op6_license_scan(spark, sf_dir).drop("labels", "score")
+
+
+BASE_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+i AS (SELECT doc_id, unnest(w) AS w, unnest(range(len(w))) AS spot FROM w),
+n AS (SELECT doc_id, spot, w, lead(w) OVER o AS w1, lead(w, 2) OVER o AS w2 FROM i WINDOW o AS (PARTITION BY doc_id ORDER BY spot)),
+p AS (SELECT doc_id, spot, CASE WHEN w = 'mit' AND w1 = 'license' THEN 'mit' WHEN w = 'apache' AND w1 = 'license' THEN 'apache' WHEN w = 'general' AND w1 = 'public' AND w2 = 'license' THEN 'gpl' END AS label FROM n)
+SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels
+FROM w LEFT JOIN (SELECT doc_id, count(*) AS n_base, min(spot) AS first_word, max(spot) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM p WHERE label IS NOT NULL GROUP BY doc_id) USING (doc_id)
+"""

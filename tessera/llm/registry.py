@@ -18,9 +18,20 @@ def queries() -> dict:
         mixing.op9_mixing,
         bpe.op10_byte_bpe,
         tool_calls.linked_tool_calls,
+        secrets.secret_scan_base,
+        license_scan.license_scan_base,
+        bpe.bpe_round_trip,
     ]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": exact_dedup.SQL, "op4_tool_calls": tool_calls.SQL, "linked_tool_calls": tool_calls.LINKED_SQL}
+    return {
+        "op2_exact_dedup": exact_dedup.SQL,
+        "op4_tool_calls": tool_calls.SQL,
+        "op8_jaccard_join": jaccard_join.SQL,
+        "linked_tool_calls": tool_calls.LINKED_SQL,
+        "secret_scan_base": secrets.BASE_SQL,
+        "license_scan_base": license_scan.BASE_SQL,
+        "bpe_round_trip": bpe.ROUND_TRIP_SQL,
+    }

@@ -306,3 +306,22 @@ def scan(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
 
 def op3_secret_scan(spark, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
+def secret_scan_base(spark, sf_dir: str) -> DataFrame:
+    """The base answers of op3_secret_scan, which SQL can express."""
+    return op3_secret_scan(spark, sf_dir).drop("spans")
+
+
+#: Places are summed lengths of what stands between matches and of the matches.
+BASE_SQL = r"""
+WITH kinds(o, kind, re, least, part) AS (VALUES
+  (0, 'assign', '([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 12, 2),
+  (1, 'access', 'AKIA[A-Z0-9]+', 18, 0), (2, 'hex', '[0-9a-f]+', 16, 0)),
+m AS (SELECT doc_id, o, kind, least, string_split_regex(t, re) AS gaps, regexp_extract_all(t, re, 0) AS hits, CASE WHEN part = 2 THEN regexp_extract_all(t, re, 2) ELSE regexp_extract_all(t, re, 0) END AS parts FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents), kinds),
+x AS (SELECT doc_id, o, kind, least, unnest(range(1, len(hits) + 1)) AS i, gaps, hits, parts FROM m),
+s AS (SELECT doc_id, o, kind, list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda h: length(h))), 0) AS a, length(hits[i]) AS n FROM x WHERE length(parts[i]) >= least)
+SELECT d.doc_id, count(*) FILTER (o = 0) AS n_assign, count(*) FILTER (o = 1) AS n_access, count(*) FILTER (o = 2) AS n_hex,
+ sha256(coalesce(string_agg(kind || ':' || a::BIGINT || ':' || (a + n)::BIGINT, ',' ORDER BY a, o), '')) AS base_sha256
+FROM documents d LEFT JOIN s USING (doc_id) GROUP BY d.doc_id
+"""

@@ -20,6 +20,9 @@ CONTRACTS = {
     "op5_ann": (["query_id", "rank", "vec_id", "score"], None),
     "op6_license_scan": (["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"], "documents"),
     "op7_language_id": (["doc_id", "held_out", "lang_pred", "score"], "documents"),
+    "secret_scan_base": (["doc_id", "n_assign", "n_access", "n_hex", "base_sha256"], "documents"),
+    "license_scan_base": (["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels"], "documents"),
+    "bpe_round_trip": (["doc_id", "decoded_sha256"], "documents"),
     "op8_jaccard_join": (["doc_id", "n_shingles", "component_id"], "documents"),
     "op9_mixing": (["doc_id", "tokens", "rate", "copies"], "documents"),
     "op10_byte_bpe": (["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"], "documents"),
@@ -75,35 +78,6 @@ def test_toxicity_orders_held_out_rows(results, duck):
     assert not pos or sum((a > b) + 0.5 * (a == b) for a in pos for b in neg) >= 0.5 * len(pos) * len(neg)
 
 
-# The base answers of op3 in SQL; places are summed lengths of what stands between matches and of the matches.
-SECRETS_SQL = """
-WITH kinds(o, kind, re, least, part) AS (VALUES
-  (0, 'assign', '([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 12, 2),
-  (1, 'access', 'AKIA[A-Z0-9]+', 18, 0), (2, 'hex', '[0-9a-f]+', 16, 0)),
-m AS (SELECT doc_id, o, kind, least, string_split_regex(t, re) AS gaps, regexp_extract_all(t, re, 0) AS hits, CASE WHEN part = 2 THEN regexp_extract_all(t, re, 2) ELSE regexp_extract_all(t, re, 0) END AS parts FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents), kinds),
-x AS (SELECT doc_id, o, kind, least, unnest(range(1, len(hits) + 1)) AS i, gaps, hits, parts FROM m),
-s AS (SELECT doc_id, o, kind, list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda h: length(h))), 0) AS a, length(hits[i]) AS n FROM x WHERE length(parts[i]) >= least)
-SELECT d.doc_id, count(*) FILTER (o = 0) AS n_assign, count(*) FILTER (o = 1) AS n_access, count(*) FILTER (o = 2) AS n_hex,
- sha256(coalesce(string_agg(kind || ':' || a::BIGINT || ':' || (a + n)::BIGINT, ',' ORDER BY a, o), '')) AS base_sha256
-FROM documents d LEFT JOIN s USING (doc_id) GROUP BY d.doc_id
-"""
-# The base answers of op6 in SQL.
-LICENSES_SQL = """
-WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
-i AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM w),
-p AS (SELECT doc_id, i - 1 AS spot, CASE WHEN w[i:i + 1] = ['mit', 'license'] THEN 'mit' WHEN w[i:i + 1] = ['apache', 'license'] THEN 'apache' WHEN w[i:i + 2] = ['general', 'public', 'license'] THEN 'gpl' END AS label FROM i)
-SELECT doc_id, len(w) AS n_words, count(label) AS n_base, min(spot) FILTER (label IS NOT NULL) AS first_word, max(spot) FILTER (label IS NOT NULL) AS last_word, coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS base_labels
-FROM w LEFT JOIN p USING (doc_id) GROUP BY doc_id, w
-"""
-
-
-@pytest.mark.parametrize(("name", "sql"), [("op3_secret_scan", SECRETS_SQL), ("op6_license_scan", LICENSES_SQL)])
-def test_base_answers_in_sql(results, duck, name, sql):
-    result = duck.execute(sql)
-    names = [d[0] for d in result.description]
-    assert sorted(tuple(r) for r in results[name].select(*names).collect()) == sorted(result.fetchall())
-
-
 LARGER = "/root/testdata/sf0.1"
 
 
