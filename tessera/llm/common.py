@@ -63,6 +63,13 @@ def written(df: DataFrame, label: str, compression: str = "snappy", keep: bool =
     return spark.read.schema(df.schema).parquet(path)
 
 
+def swept(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of queries that are over, after a step that moved much; else they
+    stay until the driver happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def crc_mod(id_col: Column, n: int) -> Column:
     """crc32 of the id written as decimal text, modulo n."""
     return F.crc32(id_col.cast("string").cast("binary")) % F.lit(n)

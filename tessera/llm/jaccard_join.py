@@ -8,9 +8,12 @@ elements (at 85 percent). Sets of about one size are cut, by hash value, into mo
 below), so linked sets agree on a whole block. A block's content is the key of an index list: lists
 of all blocks in which two sets differ are skipped without a look at their members. Sizes fall
 into classes a factor of 100/85 apart; a set uses the cut of its own class and of the class below.
-Blocks that are empty say nothing, so there are some spare blocks beyond what the pigeonhole needs; a
-set with more empty blocks than that also enters lists for the elements of its prefix, its first in
-an order common to all, which linked sets of that sort must share. Shingles that are very common in a bounded sample
+There are spare blocks beyond what the pigeonhole needs, and linked sets agree on one more than these.
+A set leaves as many out: those with the fewest elements, by an order of contents common to all. The last
+in that order on which linked sets agree has all others that they agree on before it, so both keep it. What
+is left holds mostly two shingles and more; lists of one shingle would bring ever more sets together by chance, the larger the table.
+A set with more empty blocks than spare ones also enters lists for the elements of its prefix, its first in
+an order common to all, which linked sets of that sort must share. Shingles that are very common in a sample
 of documents (common lines and passages) are left out of all blocks alike, which keeps the
 argument intact and their lists short, and come last in prefixes; verification uses whole sets.
 
@@ -29,7 +32,7 @@ of these few shingles give; bounds decide most pairs without them. Only sets tha
 and only sets that are not yet connected are looked for.
 
 *Large components.* One of more than BLOCK elements is first cut anew, with another order of hashes, which
-parts sets that met by chance. If it is still as large it is spread: its members are
+parts sets that met by chance, and again while that leaves far fewer sets in such components. If it is still as large it is spread: its members are
 compared with a few pivots, each in the task where it lies; those that the largest star leaves over are compared, in chunks, with
 all members, in blocks. No pair of different texts that could link is left out.
 
@@ -51,7 +54,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import scratch, shuffle_partitions, table, tidy, written
+from .common import scratch, shuffle_partitions, swept, table, tidy, written
 from .components import connected
 from .shingles import FACTORS, Hasher, U, exact, fingerprint, mix
 
@@ -59,8 +62,11 @@ WORDS, PERCENT = 4, 85
 #: Elements of sets that one task compares with each other, and postings in a block of a list.
 BLOCK, LIST_BLOCK = 1 << 15, 32
 PIVOTS = 8
-#: Times that a candidate component of more than BLOCK elements is cut anew, before it is spread.
-RECUTS = 1
+#: Times at most that candidate components of more than BLOCK elements are cut anew, before they are spread, and
+#: the share of sets that may be left in them for another cut.
+RECUTS, PARTED = 4, 0.75
+#: One document of so many at least is looked at for common shingles, so that lists stay short in large tables.
+SAMPLE_EVERY = 32
 #: Ids that may be broadcast to fetch their texts; beyond, the texts are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -85,12 +91,13 @@ def size_classes(largest: int, percent: int = PERCENT) -> list[int]:
 
 def blocks_for(end: int, percent: int = PERCENT) -> tuple[int, int]:
     """(blocks, spare ones) for pairs whose smaller set has at most `end` elements. There are as
-    many spare blocks as the smallest set of the class leaves empty, and four deviations more."""
+    many spare blocks as the smallest set of the class leaves empty, and four deviations more, or as it leaves with one element at most."""
     total = end + end * 100 // percent
     least = max(most_differences(t, percent) for t in range(max(2, total - 2 * (100 + percent)), total + 1)) + 1
     for spare in range(2, least + 3):
-        empty = (least + spare) * math.exp(-(percent / 100) * end / (least + spare))
-        if spare >= empty + 4 * math.sqrt(empty) + 2:
+        mean = (percent / 100) * end / (least + spare)
+        empty = (least + spare) * math.exp(-mean)
+        if spare >= max(empty + 4 * math.sqrt(empty) + 2, empty * (1 + mean)):
             break
     return least + spare, spare
 
@@ -123,10 +130,12 @@ def keys(s: np.ndarray, common: np.ndarray, cuts: Cuts, seed: int = 0) -> np.nda
         edges = np.ceil(np.arange(blocks + 1) * (2.0**64 / blocks))
         at = np.searchsorted(own, edges[1:-1].astype(U))
         at = np.concatenate([[0], at, [len(own)]])
-        full = np.flatnonzero(np.diff(at))
+        held = np.diff(at)
+        full = np.flatnonzero(held)
         crowded |= blocks - len(full) > spare
         content = sums[at[full + 1]] - sums[at[full]]
-        out.append(mix(content + mix(full.astype(U) * FACTORS[0] + U(k + 1) * FACTORS[1])))
+        found = mix(content + mix(full.astype(U) * FACTORS[0] + U(k + 1) * FACTORS[1]))
+        out.append(found[np.lexsort((found, -held[full]))[: blocks - spare]])
     if crowded:
         prefix = np.concatenate([own, s[usual]])[: len(s) - -(-cuts.percent * len(s) // 100) + 1]
         out += [mix(prefix + U(k + 1) * FACTORS[2]) for k, _, _ in cuts(len(s))]
@@ -234,8 +243,8 @@ def grouped(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[dict[s
 
 
 def common_shingles(docs: DataFrame, sample: int, least: int, most: int = 1 << 17, words: int = WORDS) -> np.ndarray:
-    """Shingles of at least `least` of about `sample` documents, the `most` commonest, sorted."""
-    every = max(1, -(-docs.count() // sample))
+    """Shingles of at least `least` of about `sample` documents, or of one of SAMPLE_EVERY if that is more, the `most` commonest, sorted."""
+    every = max(1, min(SAMPLE_EVERY, -(-docs.count() // sample)))
     some = docs.filter(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(every)) == 0)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -447,13 +456,16 @@ def links_of(docs: DataFrame, firsts: DataFrame, edges: DataFrame, common: np.nd
     small = comps.count() <= BROADCAST_IDS  # with another way beyond
     near = lambda df, other, on: df.join(F.broadcast(other) if small else other, on)
     members = written(checked(near(docs, comps.select("id", "node"), "id").select("node", "text"), words), "jaccard-members", compression="zstd")
+    swept(docs.sparkSession)
     sizes = lambda: comps.groupBy("comp").agg(F.sum("n").alias("size"))
+    before = math.inf
     for seed in range(1, 1 + RECUTS):
         large = sizes().filter(F.col("size") > block).select("comp")
         inside = comps.join(large, "comp", "left_semi")
         held = inside.agg(F.count(F.lit(1)), F.countDistinct("comp")).first()
-        if not held[0]:
+        if not held[0] or held[0] > PARTED * before:
             break
+        before = held[0]
         # chance may have brought them together: cut in another way, linked sets meet again
         inside = written(inside, f"jaccard-large-{seed}")
         again = written(candidate_edges(near(members, inside.select("node", "comp"), "node"), common, 1 << max(6, (held[0] // 1000).bit_length()), seed, words, percent), f"jaccard-edges-{seed}")
@@ -477,6 +489,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         common = common_shingles(live, sample, least, words=words)
         buckets = 1 << max(6, (sets.count() // 1000).bit_length())
         edges = written(candidate_edges(live, common, buckets, words=words, percent=percent), "jaccard-edges")
+        swept(docs.sparkSession)
         firsts = sets.filter("node IS NOT NULL AND id IS NOT NULL").groupBy("node").agg(F.min("id").alias("first"), F.min("n").alias("n"))
         if edges.isEmpty():
             names = firsts.select("node", F.col("first").alias("component_id"))

@@ -116,6 +116,44 @@ def test_cuts_have_a_block_to_spare():
             assert any(b - s > jaccard_join.most_differences(n + t) for _, (b, s) in cuts[n].items() & cuts[t].items()), (n, t)
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_linked_sets_share_a_list_though_the_least_blocks_are_left_out(percent):
+    rng = np.random.default_rng(percent)
+    cuts, none = jaccard_join.Cuts(percent), np.zeros(0, np.uint64)
+    draw = lambda n: np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2))
+    with np.errstate(over="ignore"):
+        for n in [1, 2, 3, 5, 8, *range(10, 400, 6), 900, 3000]:
+            for seed in (0, 1):
+                for _ in range(12):
+                    s = draw(n)
+                    union = rng.integers(n, n * 100 // percent + 1)
+                    lost = rng.integers(0, n - -(-percent * union // 100) + 1)  # as far apart as linked sets may be
+                    t = np.union1d(rng.permutation(s)[: n - lost], draw(union - n))
+                    common = np.sort(rng.permutation(s)[: n // 3]) if rng.random() < 0.5 else none
+                    assert np.intersect1d(jaccard_join.keys(s, common, cuts, seed), jaccard_join.keys(t, common, cuts, seed)).size, (n, seed, lost)
+                    assert len(jaccard_join.keys(s, none, cuts, seed)) <= sum(b - k for _, b, k in cuts(n)) + 2 * (n - -(-percent * n // 100) + 1)
+
+
+@pytest.mark.parametrize(("own", "pool", "shared"), [(40, 500, 4), (250, 300, 6)])
+def test_sets_that_share_single_shingles_stay_apart(own, pool, shared):
+    rng, cuts, none = np.random.default_rng(3), jaccard_join.Cuts(80), np.zeros(0, np.uint64)
+    draw = lambda n: rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2)
+    pool, root = draw(pool), list(range(4000))
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    with np.errstate(over="ignore"):
+        ks = [jaccard_join.keys(np.unique(np.concatenate([draw(own), rng.choice(pool, shared, replace=False)])), none, cuts) for _ in root]
+    nodes = np.repeat(np.arange(len(ks)), [len(k) for k in ks])
+    for a, b in zip(*jaccard_join.chained(np.concatenate(ks), nodes)[2:], strict=True):
+        root[top(a)] = top(b)
+    # one component held 2,578 and 1,297 of them, when blocks of one element were lists as good as any
+    assert np.bincount([top(x) for x in root]).max() <= 10
+
+
 def test_search_like_brute_force():
     rng = np.random.default_rng(4)
     for trial in range(60):
